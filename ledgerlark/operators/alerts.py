@@ -36,7 +36,7 @@ def cooldown(
     at: str = "detected_at",
     event_id: str = "anomaly_id",
     keys: Sequence[str] = KEYS,
-    chunk_seconds: int = 86_400,
+    chunk_seconds: int = 7 * 86_400,
 ) -> DataFrame:
     """Add ``suppressed``: less than the cooldown after the series' last alert.
 

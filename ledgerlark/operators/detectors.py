@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from ..config import ForestConfig, ReconstructionConfig
+from ..functions.exprs import staged
 from ..functions.quantiles import exact_quantiles
 
 # Columns never used as features: identity, forecast and detector outputs.
@@ -235,13 +236,13 @@ class Reconstruction:
         squares = F.lit(0.0)
         for i, c in enumerate(self.features):
             rebuilt = sum((F.lit(self.components[j][i]) * F.col(f"_h_{j}") for j in range(len(self.components))), F.lit(0.0))
-            gap = F.col(f"_z_{c}") - rebuilt
-            squares = squares + gap * gap
+            squares = squares + F.pow(F.col(f"_z_{c}") - rebuilt, F.lit(2.0))
         return z, h, squares / F.lit(float(len(self.features)))
 
     def with_error(self, df: DataFrame) -> DataFrame:
         z, h, mse = self.error(set(df.columns))
-        return df.withColumns(z).withColumns(h).withColumn("_mse", mse).drop(*z, *h)
+        out = staged(staged(df, df.columns, z), [*df.columns, *z], h)
+        return staged(out, df.columns, {"_mse": mse})
 
     def transform(self, df: DataFrame) -> DataFrame:
         scaled = (F.col("_mse") - F.lit(self.error_lo)) / F.lit(self.error_hi - self.error_lo)

@@ -143,7 +143,7 @@ def score_stream(buckets: DataFrame, profile: DataFrame, rules: RuleConfig = Rul
     from statistics import NormalDist
 
     schema = StructType([f for f in buckets.schema])
-    for name, kind in zip(HISTORY_COLUMNS, ("double", "double", "int", "int")):
+    for name, kind in zip(HISTORY_COLUMNS, ("double", "double", "integer", "integer")):
         schema = schema.add(name, kind)
     df = buckets.groupBy(*keys).transformWithStateInPandas(
         HistoryProcessor(baseline.alpha, rules, buckets.columns), schema, "append", "none")
@@ -198,9 +198,9 @@ class CooldownProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.state.get()
         last = stored[0] if stored else None
-        pdf = pd.concat(list(rows)).sort_values(["_t", "anomaly_id"], ignore_index=True)
+        pdf = pd.concat(list(rows)).sort_values(["at_micros", "anomaly_id"], ignore_index=True)
         suppressed = []
-        for t in pdf["_t"]:
+        for t in pdf["at_micros"]:
             cooling = last is not None and t - last < self.gap
             suppressed.append(bool(cooling))
             if not cooling:
@@ -215,7 +215,7 @@ class CooldownProcessor(StatefulProcessor):
 def cooldown_stream(anomalies: DataFrame, cfg: AlertConfig = AlertConfig(), keys: Sequence[str] = KEYS) -> DataFrame:
     columns = anomalies.columns
     schema = StructType([f for f in anomalies.schema]).add("suppressed", "boolean")
-    timed = anomalies.withColumn("_t", F.unix_micros("detected_at"))
+    timed = anomalies.withColumn("at_micros", F.unix_micros("detected_at"))
     return timed.groupBy(*keys).transformWithStateInPandas(
         CooldownProcessor(cfg.cooldown_seconds, columns), schema, "append", "none")
 
