@@ -9,11 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
 
 
+def sorted_quantile(ordered: Column, p: float) -> Column:
+    """Linear-interpolated quantile of an ascending array column."""
+    pos = F.lit(float(p)) * (F.size(ordered) - 1)
+    low = F.floor(pos).cast("int")
+    a = F.get(ordered, low)
+    b = F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return F.when(F.size(ordered) > 0, a + (b - a) * (pos - low))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,

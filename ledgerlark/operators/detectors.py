@@ -121,6 +121,7 @@ class IsolationForest:
 
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for cols in batches:
+                cols = (cols,) if isinstance(cols, pd.Series) else cols  # one feature arrives bare
                 x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
                 total = np.zeros(len(x))
                 everyone = np.arange(len(x))
@@ -168,7 +169,14 @@ def fit_forest(df: DataFrame, cfg: ForestConfig = ForestConfig(), features: Sequ
     ``trees * max_samples`` rows ever move, whatever the table size.
     """
     cols = feature_columns(df, features)
-    train = complete_rows(df, cols).select(*[c for c in row_key if c in df.columns and c not in cols], *cols)
+    train = complete_rows(df, cols).select(*[c for c in row_key if c in df.columns and c not in cols], *cols).persist()
+    try:
+        return _fit_forest(df, train, cols, cfg, row_key)
+    finally:
+        train.unpersist()
+
+
+def _fit_forest(df: DataFrame, train: DataFrame, cols: list[str], cfg: ForestConfig, row_key: Sequence[str]) -> IsolationForest:
     n = train.count()
     if n < cfg.min_train_rows:
         raise ValueError(f"training set has {n} complete rows, need at least {cfg.min_train_rows}")
@@ -253,10 +261,17 @@ class Reconstruction:
 def fit_reconstruction(df: DataFrame, cfg: ReconstructionConfig = ReconstructionConfig(),
                        features: Sequence[str] = (), exclude: Sequence[str] = ("event_count",)) -> Reconstruction:
     """Standardise and fit principal components with ``pyspark.ml``."""
+    cols = feature_columns(df, features, exclude)
+    train = complete_rows(df, cols).select(*cols).persist()
+    try:
+        return _fit_reconstruction(train, cols, cfg)
+    finally:
+        train.unpersist()
+
+
+def _fit_reconstruction(train: DataFrame, cols: list[str], cfg: ReconstructionConfig) -> Reconstruction:
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    cols = feature_columns(df, features, exclude)
-    train = complete_rows(df, cols).select(*cols)
     n = train.count()
     if n < cfg.min_train_rows:
         raise ValueError(f"training set has {n} complete rows, need at least {cfg.min_train_rows}")

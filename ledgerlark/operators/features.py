@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import KEYS, CalendarConfig, GrowthConfig, RollingConfig, VolatilityConfig
 from ..functions.exprs import clip, flag, nonzero_std, safe_div
+from ..functions.quantiles import sorted_quantile
 from .series import SplitConfig, over_series, series_window
 
 _AGGS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum}
@@ -107,11 +108,12 @@ def volatility_features(df: DataFrame, cfg: VolatilityConfig = VolatilityConfig(
         stage[f"_n{n}"] = F.count(x).over(f)
         stage[f"_nr{n}"] = F.count(ret).over(f)
         stage[f"_sr{n}"] = F.stddev_samp(ret).over(f)
-        stage[f"_q{n}"] = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(f)
+        # a bounded frame is cheaper to collect and sort than to re-aggregate
+        stage[f"_q{n}"] = F.collect_list(x).over(f)
         for agg in ("mean", "std", "min", "max"):
             if f"{t}_roll{n}_{agg}" not in have:
                 stage[f"_{agg}{n}"] = _AGGS[agg](x).over(f)
-    out = out.withColumns(stage)
+    out = out.withColumns(stage).withColumns({f"_q{n}": F.sort_array(f"_q{n}") for n in cfg.windows})
     tmp += list(stage)
 
     cols = {}
@@ -130,7 +132,8 @@ def volatility_features(df: DataFrame, cfg: VolatilityConfig = VolatilityConfig(
         spread = rolled("max") - rolled("min")
         cols[f"{t}_cv_{n}"] = F.when(enough, std / mean)
         cols[f"{t}_range_{n}"] = spread if reuse_range else F.when(enough, spread)
-        cols[f"{t}_iqr_{n}"] = F.when(enough, F.col(f"_q{n}")[1] - F.col(f"_q{n}")[0])
+        cols[f"{t}_iqr_{n}"] = F.when(
+            enough, sorted_quantile(F.col(f"_q{n}"), 0.75) - sorted_quantile(F.col(f"_q{n}"), 0.25))
         band = (F.lit(4.0) * std) / mean
         cols[f"{t}_bb_width_{n}"] = band if reuse_band else F.when(enough, band)
         cols[f"{t}_hist_vol_{n}"] = F.when(
@@ -180,11 +183,16 @@ def rolling_mad(
     def apply(frame: DataFrame, part: Sequence[str]) -> DataFrame:
         f = series_window(part, order).rowsBetween(-back, ahead)
         x = F.col(target).cast("double")
-        half = F.lit(0.5)
-        out = frame.withColumn("median", F.when(F.count(x).over(f) == window, F.percentile(x, half).over(f)))
+
+        def centred_median(df: DataFrame, source, name: str) -> DataFrame:
+            """Median of a full window, else NULL."""
+            df = df.withColumn("_sorted", F.collect_list(source).over(f)).withColumn("_sorted", F.sort_array("_sorted"))
+            return df.withColumn(name, F.when(
+                F.size("_sorted") == window, sorted_quantile(F.col("_sorted"), 0.5))).drop("_sorted")
+
+        out = centred_median(frame, x, "median")
         out = out.withColumn("deviation", F.abs(x - F.col("median")))
-        dev = F.col("deviation")
-        out = out.withColumn("mad", F.when(F.count(dev).over(f) == window, F.percentile(dev, half).over(f)))
-        return out.withColumn("is_anomaly", flag(dev > F.lit(threshold) * F.col("mad")))
+        out = centred_median(out, F.col("deviation"), "mad")
+        return out.withColumn("is_anomaly", flag(F.col("deviation") > F.lit(threshold) * F.col("mad")))
 
     return over_series(df, apply, before=2 * back, after=2 * ahead, keys=keys, order=order, split=split)

@@ -44,7 +44,13 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), digits
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir), digits)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # billing time is UTC throughout
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return finish(fn(spark, sf_dir), digits)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = rounded(sql, doubles, digits)
         return fn

@@ -510,15 +510,16 @@ def _(spark, sf):
 def _(spark, sf):
     df = explain.explain_rules(explain.explain_forecast(frames.scored(spark, sf)), frames.RULES)
     df = explain.explanation_payload(df).select(
-        *KB, "forecast_mean", "z_score", explain.payload_json().alias("j"), F.size(explain.payload_errors()).alias("n_errors"))
+        *KB, "anomaly_score", "forecast_mean", "z_score", explain.payload_json().alias("j"), F.size(explain.payload_errors()).alias("n_errors"))
     body = F.from_json("j", """anomaly_score DOUBLE, anomaly_threshold DOUBLE, is_anomaly BOOLEAN, severity STRING,
       components ARRAY<STRUCT<name: STRING, raw_score: DOUBLE>>,
       forecast_explanation STRUCT<forecast_mean: DOUBLE, z_score: DOUBLE, ci_breaches: MAP<STRING, BOOLEAN>>,
       rule_explanation STRUCT<threshold_breach: STRUCT<fired: BOOLEAN>, triggered_rules: ARRAY<STRING>>""")
     return df.withColumn("b", body).select(
-        *KB, "b.anomaly_score", "b.anomaly_threshold", "b.is_anomaly", "b.severity", F.size("b.components").alias("n_components"),
+        *KB, "anomaly_score", "b.anomaly_threshold", "b.is_anomaly", "b.severity", F.size("b.components").alias("n_components"),
         "forecast_mean", F.col("b.components")[1]["raw_score"].alias("if_raw"), "z_score",
-        ((F.abs(F.col("b.forecast_explanation.forecast_mean") - F.col("forecast_mean")) < 6e-7)
+        ((F.abs(F.col("b.anomaly_score") - F.col("anomaly_score")) < 6e-7)
+         & (F.abs(F.col("b.forecast_explanation.forecast_mean") - F.col("forecast_mean")) < 6e-7)
          & (F.abs(F.col("b.forecast_explanation.z_score") - F.col("z_score")) < 6e-5)).alias("payload_agrees"),
         F.col("b.forecast_explanation.ci_breaches")["95"].alias("breach_95"),
         F.col("b.rule_explanation.threshold_breach.fired").alias("threshold_fired"),

@@ -77,22 +77,24 @@ def event_id(text: Column, raw: Column) -> Column:
     return F.when(F.trim(text) != "", text).otherwise(F.sha2(raw, 256))
 
 
-def label_list(items: Column) -> Column:
-    """``[{key, value}, ...]`` to a map; the last entry of a repeated key wins."""
-    objects = F.transform(items, _object)
-    pairs = F.transform(objects, lambda o: F.struct(
-        _key(o, "key").alias("k"),
-        F.when(F.map_contains_key(o, "value"), F.coalesce(_key(o, "value"), F.lit("None")))
-        .otherwise(F.lit("")).alias("v"),
-    ))
-    kept = F.filter(pairs, lambda p: p["k"].isNotNull())
+def label_objects(text: Column) -> Column:
+    """JSON array of label objects as maps; NULL when the text is no array.
+
+    An array with elements that are no objects takes the slower item-wise path.
+    """
+    whole = F.from_json(text, "array<map<string,string>>")
+    return F.when(F.ltrim(text).startswith("["), F.coalesce(whole, F.transform(_items(text), _object)))
 
-    def put(acc: Column, p: Column) -> Column:
-        return F.map_concat(
-            F.map_filter(acc, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"])))
 
-    merged = F.reduce(kept, F.create_map().cast("map<string,string>"), put)
-    return F.when(F.size(merged) > 0, merged)
+def label_list(objects: Column) -> Column:
+    """``[{key, value}, ...]`` to a map; the last entry of a repeated key wins."""
+    named = F.reverse(F.filter(objects, lambda o: _key(o, "key").isNotNull()))
+    keys = F.transform(named, lambda o: _key(o, "key"))
+    values = F.transform(named, lambda o: F.when(
+        F.map_contains_key(o, "value"), F.coalesce(_key(o, "value"), F.lit("None"))).otherwise(F.lit("")))
+    unique = F.array_distinct(keys)
+    newest = F.transform(unique, lambda k: F.get(values, (F.array_position(keys, k) - 1).cast("int")))
+    return F.when(F.size(keys) > 0, F.map_from_arrays(unique, newest))
 
 
 # -- record shapes: where each field of a record is found --------------------------
@@ -219,7 +221,7 @@ def normalize(messages: DataFrame, value: str = "value") -> DataFrame:
         "p_cost_amount": number(x("cost_amount")),
         "p_usage_amount": number(x("usage_amount")),
         "o_tags": _object(x("tags")),
-        "l_tags": F.when(~F.col("_canonical"), _items(x("tags"))),
+        "l_tags": F.when(~F.col("_canonical"), label_objects(x("tags"))),
     })
     df = df.withColumns({
         "e_timestamp": timestamp_error(x("timestamp"), F.col("p_timestamp")),
