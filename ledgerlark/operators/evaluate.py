@@ -307,7 +307,7 @@ def top_cases(df: DataFrame, label: int, flagged: bool, threshold: float, k: int
         for c in CASE_COLUMNS if c in df.columns])
 
 
-def slice_risk(df: DataFrame, threshold: float, dims: Sequence[str] = KEYS) -> DataFrame:
+def slice_risk(df: DataFrame, threshold: float, dims: Sequence[str] = KEYS, digits: int = 6) -> DataFrame:
     """False-positive risk of the normal rows per value of each dimension.
 
     Equal scores are counted before the shuffle on (dimension, value), so a
@@ -321,9 +321,9 @@ def slice_risk(df: DataFrame, threshold: float, dims: Sequence[str] = KEYS) -> D
     return cells.groupBy("dimension", "value").agg(
         F.sum("c").alias("n_normal"),
         F.sum(F.when(F.col("s") >= F.lit(threshold), F.col("c")).otherwise(F.lit(0))).alias("fp_at_current"),
-        F.round(F.sum(F.col("s") * F.col("c")) / F.sum("c"), 6).alias("mean_score_normal"),
-        F.round(F.percentile("s", F.lit(0.95), F.col("c")), 6).alias("p95_score_normal"),
-        F.round(F.max("s"), 6).alias("max_score_normal"),
+        F.round(F.sum(F.col("s") * F.col("c")) / F.sum("c"), digits).alias("mean_score_normal"),
+        F.round(F.percentile("s", F.lit(0.95), F.col("c")), digits).alias("p95_score_normal"),
+        F.round(F.max("s"), digits).alias("max_score_normal"),
     ).orderBy("dimension", F.col("mean_score_normal").desc(), "value")
 
 

@@ -11,26 +11,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import KEYS, InjectionConfig
+from .series import with_positions
 
 # Later kinds overwrite earlier ones, in the labels and in the order applied.
 KINDS = ("spike", "drift", "level_shift", "budget_breach")
 
 
-def add_positions(df: DataFrame, seed: str, keys: Sequence[str] = KEYS, order: str = "bucket") -> DataFrame:
-    """``pos`` (0-based time order), ``draw`` (0-based hash order), ``series_rows``."""
-    part = Window.partitionBy(*keys)
-    row_hash = F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col(order).cast("string")))
-    return df.withColumns({
-        "pos": F.row_number().over(part.orderBy(order)) - 1,
-        "series_rows": F.count(F.lit(1)).over(part),
-        "_hash": row_hash,
-    }).withColumn("draw", F.row_number().over(part.orderBy("_hash")) - 1).drop("_hash")
+def add_positions(df: DataFrame, seed: str, spikes: int | None, clamp: bool, keys: Sequence[str] = KEYS,
+                  order: str = "bucket") -> DataFrame:
+    """``pos`` (0-based time order), ``drawn`` (spike row), ``series_rows``.
+
+    Positions come from counted time segments, and the drawn rows from a
+    per-series top-k that Spark limits before the shuffle, so a long series is
+    never gathered in one task.
+    """
+    keys = list(keys)
+    out = with_positions(df, "pos", keys, (order,))
+    if spikes and spikes > 0:
+        row_hash = F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col(order).cast("string")))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
+        drawn = (
+            df.select(*keys, order, row_hash.alias("_hash")).withColumn("_rank", rank).filter(F.col("_rank") <= spikes)
+            .select(*keys, order, F.lit(True).alias("drawn"))
+        )
+        out = out.join(drawn, [*keys, order], "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
+    else:
+        out = out.withColumn("drawn", F.lit(False))
+    if not clamp:
+        return out.withColumn("series_rows", F.lit(None).cast("long"))
+    return out.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("series_rows")), keys)
 
 
 def spike(x: Column, cfg: InjectionConfig) -> tuple[Column, Column]:
     if not cfg.spike_count or cfg.spike_count < 0:
         return x, F.lit(False)
-    hit = F.col("draw") < cfg.spike_count
+    hit = F.col("drawn")
     return F.when(hit, x * F.lit(cfg.spike_multiplier)).otherwise(x), hit
 
 
@@ -75,7 +90,7 @@ def inject(df: DataFrame, cfg: InjectionConfig, target: str = "total_cost", keys
     Costs end non-negative at six decimals. The default budget is the mean cost
     of all rows before injection.
     """
-    base = add_positions(df, cfg.seed, keys, order)
+    base = add_positions(df, cfg.seed, cfg.spike_count, cfg.budget_start is not None, keys, order)
     if cfg.budget_start is not None and cfg.budget is None:
         mean = df.agg(F.avg(target).alias("_budget"), F.lit(1).alias("_one"))
         base = base.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").drop("_one")
@@ -93,4 +108,4 @@ def inject(df: DataFrame, cfg: InjectionConfig, target: str = "total_cost", keys
     return base.withColumns({
         target: F.round(F.greatest(F.col("_x"), F.lit(0.0)), 6),
         "is_anomaly": F.when(F.col("anomaly_type") == "normal", F.lit(0)).otherwise(F.lit(1)),
-    }).drop("_x", "_budget", "draw", "series_rows")
+    }).drop("_x", "_budget", "drawn", "series_rows")

@@ -146,17 +146,25 @@ def run_totals(metrics: DataFrame, errors: DataFrame | None = None) -> DataFrame
 
 
 def windowed_rates(metrics: DataFrame, counters: Sequence[str], seconds: int = 300, by: Sequence[str] = (),
-                   sum_col: str | None = None, count_col: str | None = None) -> DataFrame:
+                   sum_col: str | None = None, count_col: str | None = None, chunk_seconds: int = 86_400) -> DataFrame:
     """Per-second increase over the trailing window and a sum/count average.
 
-    ``metrics`` holds one row per recorded batch, so a series has no more rows
-    than batches were run; ``by`` names the series.
+    ``metrics`` holds one row per recorded batch; ``by`` names the series. The
+    time axis is cut into chunks; rows a later chunk still looks back on are
+    copied into it, so no task holds a whole series.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    trailing = w.orderBy(F.unix_seconds("batch_at")).rangeBetween(-(seconds - 1), 0)
-    out = metrics.withColumns({
+    if seconds > chunk_seconds:
+        raise ValueError("chunk_seconds must be at least the window")
+    at = F.unix_seconds("batch_at")
+    chunk = F.floor(at / chunk_seconds)
+    own = F.struct(chunk.alias("_chunk"), F.lit(False).alias("_copy"))
+    ahead = F.when(
+        (chunk + 1) * chunk_seconds - at < seconds, F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_copy")))
+    cut = metrics.select("*", F.explode(F.array_compact(F.array(own, ahead))).alias("_c")).select(metrics["*"], "_c.*")
+    trailing = Window.partitionBy(*by, "_chunk").orderBy(at).rangeBetween(-(seconds - 1), 0)
+    out = cut.withColumns({
         f"{c}_per_second": F.sum(c).over(trailing) / F.lit(float(seconds)) for c in counters})
     if sum_col and count_col:
         n = F.sum(count_col).over(trailing)
         out = out.withColumn(f"{sum_col}_avg", F.sum(sum_col).over(trailing) / F.when(n != 0, n))
-    return out
+    return out.filter(~F.col("_copy")).drop("_chunk", "_copy")

@@ -53,6 +53,32 @@ def needs_split(unit: str) -> bool:
     return unit not in COARSE_UNITS
 
 
+def with_positions(df: DataFrame, name: str = "pos", keys: Sequence[str] = KEYS, order: Sequence[str] = ("bucket",),
+                   segment_seconds: int = 86_400) -> DataFrame:
+    """0-based position of every row in its series, without one task per series.
+
+    Rows are numbered inside a time segment; the rows of all earlier segments
+    are added from a table of one count per key and segment.
+    """
+    keys = list(keys)
+    tagged = df.withColumn(
+        "_segment", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (segment_seconds * 1_000_000)))
+    ahead = (
+        tagged.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_ahead", F.coalesce(
+            F.sum("_rows").over(
+                Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)))
+        .drop("_rows")
+    )
+    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
+    return (
+        tagged.join(ahead, [*keys, "_segment"])
+        .withColumn(name, F.col("_ahead") + F.row_number().over(inside) - 1)
+        .select(*df.columns, name)
+    )
+
+
 def over_series(
     df: DataFrame,
     fn: Callable[[DataFrame, Sequence[str]], DataFrame],
@@ -73,22 +99,7 @@ def over_series(
     if max(before, after) > size:
         raise ValueError("block_rows must be at least the halo")
     keys = list(keys)
-    tagged = df.withColumn(
-        "_segment", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (split.segment_seconds * 1_000_000))
-    )
-    # Rows ahead of each segment: one small row per key and segment.
-    ahead = (
-        tagged.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_ahead", F.coalesce(
-            F.sum("_rows").over(
-                Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
-    placed = tagged.join(ahead, [*keys, "_segment"]).withColumn(
-        "_pos", F.col("_ahead") + F.row_number().over(inside) - 1
-    )
+    placed = with_positions(df, "_pos", keys, order, split.segment_seconds)
     block = F.floor(F.col("_pos") / size)
     own = F.struct(block.alias("_block"), F.lit(False).alias("_halo"))
     to_next = F.when(

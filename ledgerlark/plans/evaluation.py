@@ -207,7 +207,7 @@ def _(spark, sf):
         SELECT anomaly_score, unnest(['account_id', 'service', 'region']) AS dimension, unnest([account_id, service, region]) AS value
         FROM labelled WHERE is_anomaly = 0) GROUP BY 1, 2""", "labelled"), ("mean_score_normal", "p95_score_normal", "max_score_normal"))
 def _(spark, sf):
-    return ev.slice_risk(frames.labelled(spark, sf), T)
+    return ev.slice_risk(frames.labelled(spark, sf), T, digits=12)
 
 
 @query("v18_missed_by_type", with_(
