@@ -57,6 +57,11 @@ def cooldown(
         events.groupBy(*keys, micros.alias("_t")).agg(F.min(event_id).alias("_first"))
         .withColumn("_chunk", F.floor(F.col("_t") / F.lit(size)))
     )
+    if state is not None:
+        # events inside the remembered cooldown are suppressed; on later ones it has no effect
+        since = state.select(*keys, F.unix_micros(F.col("last_alerted").cast("timestamp")).alias("_since"))
+        times = times.join(since, keys, "left").filter(
+            F.col("_since").isNull() | (F.col("_t") - F.col("_since") >= gap)).drop("_since")
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in times.schema if f.name in keys)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,17 +81,10 @@ def cooldown(
 
     summaries = times.groupBy(*keys, "_chunk").applyInPandas(
         summarise, f"{key_types}, _chunk long, _upto array<long>, _exit array<long>")
-    if state is not None:
-        start = state.select(*keys, F.unix_micros(F.col("last_alerted").cast("timestamp")).alias("_since"))
-        summaries = summaries.join(start, keys, "left")
-    else:
-        summaries = summaries.withColumn("_since", F.lit(None).cast("long"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk", ignore_index=True)
-        since = pdf["_since"].iloc[0]
-        last = _FAR_PAST if pd.isna(since) else int(since)
-        entry = []
+        last, entry = _FAR_PAST, []
         for upto, after in zip(pdf["_upto"], pdf["_exit"]):
             entry.append(last)
             i = np.searchsorted(np.asarray(upto), last + gap)

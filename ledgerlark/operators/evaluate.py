@@ -42,7 +42,7 @@ def resolve_labels(df: DataFrame, external: DataFrame | None = None, row_id: str
     own = F.col(label).cast("int") if label in df.columns else F.lit(None).cast("int")
     if external is None:
         return df.withColumn(out, own)
-    # first() of a matching label decides for the whole frame, as one tiny row
+    # whether any row found an external label is decided once, as a single row
     ext = external.select(row_id, F.col("label").cast("int").alias("_ext"))
     joined = df.join(ext, row_id, "left")
     any_ext = joined.agg((F.count("_ext") > 0).alias("_has"), F.lit(1).alias("_one"))

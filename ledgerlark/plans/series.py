@@ -297,7 +297,12 @@ def _training(spark, sf):
     return features.calendar_features(hourly(spark, sf))
 
 
-@query("m7_feature_columns")
+_FEATURES = ("total_cost", "total_usage", "event_count", "hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend",
+             "is_business_hour", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
+
+
+@query("m7_feature_columns", with_(
+    "SELECT feature, (SELECT count(*) FROM hourly) AS n_rows FROM (VALUES " + ", ".join(f"('{c}')" for c in _FEATURES) + ") v(feature)", "hourly"))
 def _(spark, sf):
     df = baseline.residuals(baseline.forecast(_training(spark, sf), frames.profile(spark, sf)))
     names = detectors.feature_columns(df)
@@ -349,6 +354,15 @@ def _(spark, sf):
     return spark.createDataFrame(rows, names)
 
 
+@query("m11_standardisation", with_(
+    """SELECT feature, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT unnest(['total_cost', 'total_usage', 'hour_of_day', 'day_of_week', 'is_weekend']) AS feature,
+         unnest([total_cost, total_usage, CAST(hour(bucket) AS DOUBLE), CAST(isodow(bucket) - 1 AS DOUBLE), CASE WHEN isodow(bucket) >= 6 THEN 1.0 ELSE 0.0 END]) AS v
+       FROM hourly) GROUP BY 1""", "hourly"), ("mean", "std"))
+def _(spark, sf):
+    m = detectors.fit_reconstruction(_training(spark, sf), features=["total_cost", "total_usage", "hour_of_day", "day_of_week", "is_weekend"])
+    return spark.createDataFrame(list(zip(m.features, m.means, m.stds)), "feature STRING, mean DOUBLE, std DOUBLE")
+
+
 @query("m12_reconstruction_score")
 def _(spark, sf):
     df = _training(spark, sf)

@@ -52,6 +52,18 @@ def test_cooldown_boundary_and_state(spark):
     assert got == brute(series["a"], 3600, T0 - timedelta(seconds=10))
 
 
+@pytest.mark.parametrize("ahead", [-1000, 0, 50_000, 400_000])
+def test_cooldown_resumes_inside_the_history(spark, ahead):
+    """The remembered alert may be later than many of the events."""
+    at = np.cumsum(np.random.default_rng(ahead + 2000).choice([600, 1800, 3600, 5000], 300))
+    events = [(T0 + timedelta(seconds=int(s)), f"e{i:04d}") for i, s in enumerate(at)]
+    last = T0 + timedelta(seconds=ahead)
+    state = spark.createDataFrame([("a", "s", "r", last)], "account_id string, service string, region string, last_alerted timestamp")
+    for chunk in (7200, 86_400):
+        got = alerts.cooldown(anomalies(spark, {"a": events}), state=state, chunk_seconds=chunk)
+        assert {r.anomaly_id: r.suppressed for r in got.collect()} == brute(events, 3600, last)
+
+
 def test_rerun_creates_no_duplicates(spark):
     df = anomalies(spark, {"a": [(T0, "x"), (T0 + timedelta(hours=2), "y")]}).withColumn("severity", F.lit("low"))
     first = alerts.derive_alerts(df)
