@@ -1,7 +1,5 @@
 import json
 
-import pytest
-
 from ledgerlark.config import CANONICAL_FIELDS
 from ledgerlark.sources import messages, normalize
 
@@ -32,7 +30,13 @@ def test_flat_and_nested(spark):
     assert r.tags == {"env": "prod", "team": "data"}
 
 
-@pytest.mark.parametrize("change, error", [
+def many(spark, payloads):
+    """Normalise several payloads in one job, in order."""
+    rows = [(i, p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(payloads)]
+    return normalize.normalize(spark.createDataFrame(rows, "message_id int, value string")).orderBy("message_id").collect()
+
+
+REJECTS = [
     ({"cost": -1}, "cost_amount must be non-negative."),
     ({"cost": "abc"}, "cost_amount must be numeric."),
     ({"cost": "NaN"}, "cost_amount must be numeric."),
@@ -46,31 +50,32 @@ def test_flat_and_nested(spark):
     ({"provider": "AWS"}, "Unsupported provider 'aws'."),
     ({"labels": "oops"}, "tags must be a key-value mapping."),
     ({"cost": -1, "usage_start_time": "bad", "service_description": ""}, "cost_amount must be non-negative."),
-])
-def test_rejects(spark, change, error):
-    assert one(spark, {**FLAT, **change}).error == error
+]
+
+
+def test_rejects(spark):
+    got = [r.error for r in many(spark, [{**FLAT, **change} for change, _ in REJECTS])]
+    assert got == [error for _, error in REJECTS]
 
 
-@pytest.mark.parametrize("body, error", [
-    ('{"cost": ', "payload is not valid JSON."),
-    ("", "payload is not valid JSON."),
-    ("[1, 2]", "Event payload must be a JSON object."),
-    ("null", "Event payload must be a JSON object."),
-    (b"\xff\xfe{}", "payload is not valid UTF-8."),
-])
-def test_undecodable(spark, body, error):
-    assert one(spark, body).error == error
+def test_undecodable(spark):
+    bodies = ['{"cost": ', "", "[1, 2]", "null"]
+    assert [r.error for r in many(spark, bodies)] == [
+        "payload is not valid JSON.", "payload is not valid JSON.",
+        "Event payload must be a JSON object.", "Event payload must be a JSON object."]
+    assert one(spark, b"\xff\xfe{}").error == "payload is not valid UTF-8."
 
 
 def test_fallbacks(spark):
-    assert one(spark, {**FLAT, "cost": None, "cost_amount": "7.25"}).cost_amount == 7.25
-    assert one(spark, {**FLAT, "location_region": " "}).region == "global"
-    assert one(spark, {**FLAT, "service": "Storage"}, drop=("service_description",)).service == "Storage"
-    assert one(spark, {**FLAT, "export_time": "2026-02-01", "usage_start_time": None}).timestamp.month == 2
-    assert one(spark, {**FLAT, "labels": [{"key": "a", "value": 1}, {"key": "a", "value": 2}, {"value": "x"}, 3, {"key": "b"}]}).tags == {
-        "a": "2", "b": ""}
-    assert one(spark, {**FLAT, "labels": [], "tags": {"x": 2.5}}).tags == {"x": "2.5"}
-    assert one(spark, {**FLAT, "labels": []}).tags is None
+    labels = [{"key": "a", "value": 1}, {"key": "a", "value": 2}, {"value": "x"}, 3, {"key": "b"}]
+    bare = {k: v for k, v in FLAT.items() if k != "service_description"}
+    r = many(spark, [
+        {**FLAT, "cost": None, "cost_amount": "7.25"}, {**FLAT, "location_region": " "}, {**bare, "service": "Storage"},
+        {**FLAT, "export_time": "2026-02-01", "usage_start_time": None}, {**FLAT, "labels": labels},
+        {**FLAT, "labels": [], "tags": {"x": 2.5}}, {**FLAT, "labels": []}])
+    assert (r[0].cost_amount, r[1].region, r[2].service, r[3].timestamp.month) == (7.25, "global", "Storage", 2)
+    assert r[4].tags == {"a": "2", "b": ""}
+    assert r[5].tags == {"x": "2.5"} and r[6].tags is None
 
 
 def test_event_id_is_stable(spark):
