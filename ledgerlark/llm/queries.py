@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from ..session import scratch_path
+from . import bpe_automaton, quality_rules, wavelet
 
+WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
+BYTE_BPE = "byte_bpe_50k.json"
 QUERIES = {}
 ORACLES = {}
 
@@ -20,6 +23,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written below the shared folder and read back; lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,3 +75,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), quality_rules.passes("v2").alias("kept"), "fail_bits")
+
+
+@query("op6_wavelet_shards")
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.encode_shards(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), END_ID, WORD_BPE_BITS)
+    return wavelet.read_documents(stored(shards, "op6"))
+
+
+@query("op8_bpe_automaton")
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
