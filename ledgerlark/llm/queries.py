@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bpe_automaton, quality_rules, wavelet
+from . import bpe_automaton, html_extract, lang_id, quality_rules, secrets, wavelet
 
 WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 QUERIES = {}
 ORACLES = {}
 
@@ -86,3 +87,33 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe_automaton")
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.train(docs))
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = lang_id.train(docs, tokenizer(PIECES), labelled=~held_out)
+    return lang_id.predict(docs, model, tokenizer(PIECES)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
