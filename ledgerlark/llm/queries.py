@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
-from . import bpe_automaton, html_extract, lang_id, quality_rules, secrets, wavelet
+from . import bpe_automaton, html_extract, lang_id, packing, quality_rules, secrets, wavelet
+from .components import stored
 
 WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,13 +30,6 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written below the shared folder and read back; lineage ends there."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,3 +110,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = lang_id.train(docs, tokenizer(PIECES), labelled=~held_out)
     return lang_id.predict(docs, model, tokenizer(PIECES)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def packable(docs: DataFrame) -> DataFrame:
+    """Words as token counts; equal texts but for case and white space are one cluster."""
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), quality_rules.WORD_GAP), "")
+    return docs.select("doc_id", "source", words.alias("_words")).select(
+        "doc_id", "source", F.size("_words").cast("long").alias("size"), F.xxhash64(F.array_join("_words", " ")).alias("cluster"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packable(docs), "size", "source", "cluster")
