@@ -125,8 +125,9 @@ def pack(docs: DataFrame, size: str, source: str | None, cluster: str | None, id
         (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source"),
         (F.col(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"))
     cells = max(1, -(-docs.count() // config.cell_items))
-    # equal ids still spread: the row's own content is part of the hash
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "source", "cluster"), F.lit(cells)))
+    # rows without an id spread by their place in the input
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "source", "cluster", place), F.lit(cells)))
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(_id=group["doc_id"].fillna(-1)).sort_values(["size", "_id"], ascending=[False, True], kind="stable")
