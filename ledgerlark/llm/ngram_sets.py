@@ -32,10 +32,10 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             if b - a >= width:
                 yield np.unique(rolled[a:b - width + 1])
             elif b > a:
-                whole = np.uint64(b - a)
-                for x in h[a:b]:
-                    whole = W.mix(np.array([whole * _A + x]))[0]
-                yield np.array([whole], np.uint64)
+                whole = np.array([b - a], np.uint64)
+                for k in range(a, b):
+                    whole = W.mix(whole * _A + h[k:k + 1])
+                yield whole
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -44,5 +44,5 @@ def fingerprint(s: np.ndarray) -> int:
     """64 bits over a whole set and its size."""
     if not len(s):
         return 0
-    x = W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s)) * _A
-    return int(W.mix(np.array([x], np.uint64)).view(np.int64)[0])
+    x = W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * _A
+    return int(W.mix(x).view(np.int64)[0])

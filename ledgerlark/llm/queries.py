@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, html_extract, lang_id, packing, quality_rules, secrets, wavelet
+from . import bpe_automaton, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, secrets, wavelet
 from .components import stored
 
 WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
@@ -123,3 +123,17 @@ def packable(docs: DataFrame) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packable(docs), "size", "source", "cluster")
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.JoinConfig(width=4, num=85, den=100))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs)
+    return kept.select(
+        "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines_kept"), F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
