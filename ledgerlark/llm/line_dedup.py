@@ -13,8 +13,9 @@ pairs of different components, so a bucket of many copies costs its size.
 
 Defined results: lines with fewer than MIN_CHARS characters (blank ones too)
 are never compared and always stay; a NULL text stays NULL, an empty one empty;
-a text all of whose lines went is empty and its row stays; of rows with equal
-ids the one read first by text order counts as first; an empty table gives an
+a text all of whose lines went is empty and its row stays; rows
+with equal ids count as one document, so exact repeats of a row keep or lose
+the same lines; an empty table gives an
 empty table; all other columns are kept.
 """
 
@@ -127,18 +128,18 @@ def placed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str
 
 
 def dropped_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, comp of every line that goes."""
+    """doc_id, line_no, line_id, comp of every line that goes."""
     placed = placed_lines(docs, config, id_col, text)
     lines = lines_of(docs, id_col, text).where(F.char_length("line") >= config.min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"))
     hit = lines.join(placed, "line_id")
-    return hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))).select("doc_id", "line_no", "comp")
+    return hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))).select("doc_id", "line_no", "line_id", "comp")
 
 
 def dedup_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all but one line of each component taken out of the text."""
     gone = dropped_lines(docs, config, id_col, text)
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.xxhash64("line_no", "line_id")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    keep = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    keep = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", F.xxhash64(i, F.xxhash64(x))))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n"))
     return out.withColumn(text, new).select(*docs.columns)
