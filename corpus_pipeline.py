@@ -21,8 +21,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
-    return quality_rules.ledger(docs).where(quality_rules.passes(POLICY)).select(*docs.columns)
+    """Documents that the policy rejects go.
+
+    The ledger is written first: a filter over the live plan would be pushed
+    below the measurements and have them evaluated again and again.
+    """
+    return stored(quality_rules.ledger(docs), "quality_ledger").where(quality_rules.passes(POLICY)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
