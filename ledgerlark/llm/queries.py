@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, secrets, wavelet
+from . import ann, bpe_automaton, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, secrets, wavelet
 from .components import stored
 
 WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
@@ -137,3 +137,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines_kept"), F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op10_nn_descent")
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
