@@ -109,18 +109,17 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def ratio(counts: np.ndarray) -> np.ndarray:
-    """Random strings are smoothed towards uniform by a twentieth of their mass,
-    so that a few labelled formats do not rule others out."""
+    """Rows of few pairs fall back to uniform for random strings, to the single
+    characters' shares for ordinary words. Half of the random model's mass is
+    uniform, so that a few labelled formats do not rule others out."""
     n = SIZE - 1
-    logs = []
-    for k, share in ((0, 0.5), (1, 0.01)):
-        c = counts[k][1:, 1:]
-        rows = c.sum(1, keepdims=True)
-        own = np.where(rows > 0, (c + 0.1) / (rows + 0.1 * n), 1.0 / n)
-        logs.append(np.log((1 - share) * own + share / n))
+    random, ordinary = counts[0][1:, 1:], counts[1][1:, 1:]
+    single = (ordinary.sum(0) + 0.5) / (ordinary.sum() + 0.5 * n)
+    p = 0.5 * (random + 5.0 / n) / (random.sum(1, keepdims=True) + 5.0) + 0.5 / n
+    q = (ordinary + 5.0 * single) / (ordinary.sum(1, keepdims=True) + 5.0)
     out = np.zeros((SIZE, SIZE))
-    if counts[1].any():
-        out[1:, 1:] = logs[0] - logs[1]
+    if ordinary.any():
+        out[1:, 1:] = np.log(p) - np.log(q)
     return out
 
 
