@@ -15,6 +15,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    Its cleaner follows the driver's garbage collection, which may be half an
+    hour away; a step that writes large shuffles one after the other would hold
+    them all on disk till then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """(id, comp): the smallest id of the component of every id in an edge.
 

@@ -35,14 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import connected_components, stored
+from .components import connected_components, discard, release_shuffles, stored
 from .ngram_sets import fingerprint, shingle_sets
 
 #: Bound on the frequent shingles that the driver sends to the tasks (8 bytes each).
 FREQUENT = 200_000
 LEAST_COUNT = 8
 #: Share of all hash values within which frequencies are counted.
-COUNTED = 0.45
+COUNTED = 0.3
 
 
 @dataclass(frozen=True)
@@ -72,14 +72,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_sizes(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """doc_id, n_shingles, sig: the set's size and 64-bit fingerprint."""
+    """doc_id, n_shingles, sig and bits: the set's size, 64-bit fingerprint and parity bitmap."""
 
     def run(batches):
         for b in batches:
-            sets = [(len(s), fingerprint(s)) for s in shingle_sets(b.column(1).to_pylist(), config.width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], names=["doc_id", "n_shingles", "sig"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [(len(s), fingerprint(s), bitmap(s)) for s in shingle_sets(part.column(1).to_pylist(), config.width)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([x for _, x, _ in sets], pa.int64()), pa.array([x for *_, x in sets], pa.binary())],
+                    names=["doc_id", "n_shingles", "sig", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
@@ -95,6 +99,7 @@ def frequent_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
 
     counts = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     counts = stored(counts.withColumn("level", F.floor(4 * F.log2("n")).cast("int")), "ngram_counts")
+    release_shuffles(docs.sparkSession)
     total, level = 0, None
     for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         total += r["count"]
@@ -138,9 +143,13 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> D
                     names=["token", "sig", "n", "pos"])
 
     lists = stored(docs.mapInArrow(run, "token bigint, sig bigint, n int, pos int").distinct(), "ngram_lists")
+    release_shuffles(docs.sparkSession)
     # a list of one set answers nothing
     live = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    return stored(lists.join(live, "token"), "ngram_live")
+    out = stored(lists.join(live, "token"), "ngram_live")
+    discard(lists)
+    release_shuffles(docs.sparkSession)
+    return out
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -160,27 +169,33 @@ def differing_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def needed_sets(docs: DataFrame, sizes: DataFrame, lists: DataFrame, config: JoinConfig) -> DataFrame:
-    """sig, tokens and bitmap of every set that stands in a list."""
-    sigs = lists.select("sig").distinct()
-    first = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(sigs, "sig", "left_semi").select("doc_id", "sig")
+def needed_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, config: JoinConfig) -> DataFrame:
+    """sig and tokens of every set in the pairs (a, b)."""
+    sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    first = heads.select("sig", "doc_id").join(sigs, "sig", "left_semi")
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = list(shingle_sets(part.column(1).to_pylist(), config.width))
-                # rows that share a doc_id may hold other texts
-                keep = [i for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist())) if fingerprint(s) == sig]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
-                    pa.array([bitmap(sets[i]) for i in keep], pa.binary())], names=["sig", "tokens", "bits"])
-
-    texts = docs.join(first, "doc_id").select("sig", "text")
-    return stored(texts.mapInArrow(run, "sig bigint, tokens array<bigint>, bits binary").dropDuplicates(["sig"]), "ngram_sets")
-
-
-def possible(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame:
+                keep = []
+                # rows that share a doc_id may hold other texts, or the same again
+                for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist())):
+                    if sig not in seen and fingerprint(s) == sig:
+                        seen.add(sig)
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["sig", "tokens"])
+
+    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"])).select("sig", "text")
+    out = stored(texts.mapInArrow(run, "sig bigint, tokens array<bigint>"), "ngram_sets")
+    release_shuffles(docs.sparkSession)
+    return out
+
+
+def possible(pairs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     """Pairs (a, b, na, nb) whose bitmaps leave a link possible."""
 
     def run(batches):
@@ -192,9 +207,9 @@ def possible(pairs: DataFrame, sets: DataFrame, config: JoinConfig) -> DataFrame
                 keep.append(differing_at_least(x[i], y[i]) <= t + 2 * (-config.num * t // (config.num + config.den)))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
 
-    bits = sets.select(F.col("sig").alias("a"), F.col("bits").alias("x"))
+    bits = heads.select(F.col("sig").alias("a"), F.col("bits").alias("x"))
     both = pairs.join(bits, "a").join(bits.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint, na int, nb int")
+    return stored(both.mapInArrow(run, "a bigint, b bigint, na int, nb int"), "ngram_possible")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,17 +224,20 @@ def near(a: Column, b: Column, pa_: Column, pb: Column, config: JoinConfig) -> C
     return config.sizes_fit(a, b) & (F.least(a - pa_, b - pb) >= config.need(a, b))
 
 
-def links(docs: DataFrame, sizes: DataFrame, config: JoinConfig) -> DataFrame:
+def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     """Edges (a, b) between fingerprints: every class of linked sets is connected by them."""
     lists = prefix_lists(docs, frequent_shingles(docs, config), config)
-    sets = needed_sets(docs, sizes, lists, config)
 
     # every list's members against its leader
     lead = lists.groupBy("token").agg(F.min(F.struct("sig", "n", "pos")).alias("l"))
     star = lists.join(lead, "token").where(F.col("sig") != F.col("l.sig")).where(near(F.col("l.n"), F.col("n"), F.col("l.pos"), F.col("pos"), config))
     star = star.select(F.col("l.sig").alias("a"), F.col("sig").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).distinct()
-    answers = compared(possible(star, sets, config), sets)
+    star = possible(star, heads, config)
+    sets = needed_sets(docs, heads, star, config)
+    answers = compared(star, sets)
     answers = stored(answers.withColumn("linked", config.links(F.col("nb") - F.size("extra"), F.col("na"), F.col("nb"))), "ngram_answers")
+    discard(sets)
+    release_shuffles(docs.sparkSession)
     first = answers.where("linked").select("a", "b")
     classes = stored(connected_components(first), "ngram_classes")
 
@@ -254,9 +272,11 @@ def links(docs: DataFrame, sizes: DataFrame, config: JoinConfig) -> DataFrame:
         F.col("id").alias("b"), F.col("miss").alias("mb"), F.col("extra").alias("eb"))
     overlap = F.col("nl") - F.size(F.array_union("ma", "mb")) + F.size(F.array_intersect("ea", "eb"))
     derived = pairs.where(same).join(p, "a").join(q, "b").where(config.links(overlap, F.col("na"), F.col("nb"))).select("a", "b")
-    asked = compared(possible(pairs.where(~same).select("a", "b", "na", "nb"), sets, config), sets)
+    rest = possible(pairs.where(~same).select("a", "b", "na", "nb"), heads, config)
+    asked = compared(rest, needed_sets(docs, heads, rest, config))
     asked = asked.where(config.links(F.col("nb") - F.size("extra"), F.col("na"), F.col("nb"))).select("a", "b")
     second = stored(derived.union(asked).distinct(), "ngram_links")
+    release_shuffles(docs.sparkSession)
     return first.union(second)
 
 
@@ -264,12 +284,15 @@ def classes(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str = "d
     """doc_id, n_shingles and component_id: the least id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sizes = stored(set_sizes(rows, config), "ngram_sizes")
-    comps = connected_components(links(rows, sizes, config)).withColumnRenamed("id", "sig")
+    heads = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"))
+    heads = stored(heads, "ngram_heads")
+    sizes = sizes.select("doc_id", "n_shingles", "sig")
+    comps = connected_components(links(rows, heads, config)).withColumnRenamed("id", "sig")
     # the class of every distinct set and its least row, then back to the rows
-    least = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    least = heads.select("sig", F.col("doc_id").alias("first"))
     named = least.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    heads = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    heads = named.join(heads, "comp").select("sig", "component_id")
+    tops = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    tops = named.join(tops, "comp").select("sig", "component_id")
     empty = F.col("n_shingles") == 0
-    return sizes.join(heads, "sig", "left").select(
+    return sizes.join(tops, "sig", "left").select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

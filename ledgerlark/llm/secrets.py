@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 VALUE_CHARS, ACCESS_CHARS = 6, 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Random by nature and no secret.
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 SIZE = len(ALPHABET) + 1  # 0: outside the alphabet, and a word's border
 ORDINARY_CHARS = 8
 
@@ -42,7 +44,7 @@ class Thresholds:
     """Log-likelihood ratio that a candidate needs in all and per character."""
 
     total: float = 20.0
-    per_char: float = 1.3
+    per_char: float = 6.5
     distinct: int = 8
 
 
@@ -63,7 +65,10 @@ _symbols[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 
 
 def pair_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of character pairs: [0] in values of secrets, [1] in ordinary words."""
+    """Counts of character pairs: [0] in values of secrets, [1] in ordinary words.
+
+    A word with a digit is not labelled: it may be a secret that no pattern finds.
+    """
     out = np.zeros((2, SIZE * SIZE), np.int64)
     for first, last, cp, offsets in W.chunks(texts):
         sym = _symbols[cp]
@@ -75,7 +80,8 @@ def pair_counts(texts: list[str | None]) -> np.ndarray:
                     secret[a + value:a + end] = True
         start, end = W.runs(sym > 0, offsets)
         inside = np.zeros(len(cp) + 1, np.int8)
-        long = end - start >= ORDINARY_CHARS
+        digits = np.concatenate([[0], np.cumsum((cp >= 48) & (cp <= 57))])
+        long = (end - start >= ORDINARY_CHARS) & (digits[end] == digits[start])
         np.add.at(inside, start[long], 1)
         np.add.at(inside, end[long], -1)
         word = np.cumsum(inside[:-1]).astype(bool)
@@ -134,7 +140,7 @@ def scan(text: str | None, model: np.ndarray | None = None, limits: Thresholds =
     for m in CANDIDATE.finditer(text):
         word = m[0].strip("=-_/+")
         kinds = (any(c.islower() for c in word)) + (any(c.isupper() for c in word)) + (any(c.isdigit() for c in word))
-        if len(word) < 20 or kinds < 2 or len(set(word)) < limits.distinct:
+        if len(word) < 20 or kinds < 2 or len(set(word)) < limits.distinct or UUID.fullmatch(word):
             continue
         if any(a < m.end() and m.start() < b for a, b in covered):
             continue
