@@ -26,6 +26,15 @@ def staged(df: DataFrame, keep: Sequence[str], cols: Mapping[str, Column]) -> Da
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of equal name where NULL equals NULL; the left keys are kept."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(named[f"_right_{k}"])
+    return left.join(named, cond, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     """Clamp that keeps NULL (least/greatest alone would drop it)."""
     out = c

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import KEYS, AlertConfig
+from ..functions.exprs import join_on
 
 _FAR_PAST = np.iinfo(np.int64).min // 4
 
@@ -60,7 +61,7 @@ def cooldown(
     if state is not None:
         # events inside the remembered cooldown are suppressed; on later ones it has no effect
         since = state.select(*keys, F.unix_micros(F.col("last_alerted").cast("timestamp")).alias("_since"))
-        times = times.join(since, keys, "left").filter(
+        times = join_on(times, since, keys, "left").filter(
             F.col("_since").isNull() | (F.col("_t") - F.col("_since") >= gap)).drop("_since")
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in times.schema if f.name in keys)
 
@@ -108,11 +109,11 @@ def cooldown(
 
     id_type = times.schema["_first"].dataType.simpleString()
     alerted = (
-        times.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
+        join_on(times, entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
         .applyInPandas(resolve, f"{key_types}, _t long, _first {id_type}")
     )
     return (
-        events.withColumn("_t", micros).join(alerted, [*keys, "_t"], "left")
+        join_on(events.withColumn("_t", micros), alerted, [*keys, "_t"], "left")
         .withColumn("suppressed", ~F.coalesce(F.col("_first") == F.col(event_id), F.lit(False)))
         .drop("_t", "_first")
     )

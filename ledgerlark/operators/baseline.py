@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import KEYS, BaselineConfig, ResidualConfig
 from ..functions.exprs import clip, flag
@@ -83,22 +83,30 @@ def ewma(df: DataFrame, target: str, alpha: float, out: str = "ewma", keys: Sequ
          order: Sequence[str] = ("bucket",)) -> DataFrame:
     """Exponentially weighted mean including the current row, per series.
 
-    The first value of a series has full weight, later ones ``alpha``. Partial
-    sums over 1, 2, 4, ... rows are doubled until the dropped weight is below
-    1e-16, so the cost per row is logarithmic in the memory length; all steps
-    share one partitioning and sort.
+    The first value of a series has full weight, later ones ``alpha``. A NULL
+    adds nothing and repeats the mean, but the memory fades over its row too:
+    after g rows the old mean has weight ``(1 - alpha)^g`` against ``alpha``.
+    Each known value is a step ``old -> fade * old + add``; steps are joined
+    over 1, 2, 4, ... of them until the dropped weight is below 1e-16, so the
+    cost per row is logarithmic in the memory length.
     """
     w = series_window(keys, order)
     x = F.col(target).cast("double")
     keep = 1.0 - alpha
-    cur = df.withColumn(
-        out, F.when(F.row_number().over(w) == 1, x).otherwise(F.lit(alpha) * x))
+    known = series_window([*keys, "_null"], order)
+    cur = df.withColumn("_null", x.isNull()).withColumn("_at", F.row_number().over(w))
+    old = F.pow(F.lit(keep), F.col("_at") - F.lag("_at").over(known))
+    first = F.row_number().over(known) == 1
+    cur = cur.withColumn("_fade", F.when(F.col("_null") | first, F.lit(0.0)).otherwise(old / (old + F.lit(alpha))))
+    cur = cur.withColumn(out, F.when(~F.col("_null"), (F.lit(1.0) - F.col("_fade")) * x))
     span = 1
     while keep > 0 and keep ** span > 1e-16:
-        cur = cur.withColumn(
-            out, F.col(out) + F.lit(keep ** span) * F.coalesce(F.lag(out, span).over(w), F.lit(0.0)))
+        cur = cur.withColumns({
+            out: F.col(out) + F.col("_fade") * F.coalesce(F.lag(out, span).over(known), F.lit(0.0)),
+            "_fade": F.col("_fade") * F.coalesce(F.lag("_fade", span).over(known), F.lit(0.0))})
         span *= 2
-    return cur
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return cur.withColumn(out, F.last(out, ignorenulls=True).over(upto)).drop("_null", "_at", "_fade")
 
 
 def ewma_memory(alpha: float) -> int:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CalibrationConfig, FP_CURVE_GRID, KEYS, SENSITIVITY_GRID, SIGNAL_COLUMNS, TunerConfig
+from ..functions.exprs import join_on
 from ..functions.quantiles import score_quantiles
 
 
@@ -28,7 +29,7 @@ def zscore_score(df: DataFrame, target: str = "total_cost", by: str = "account_i
     sd = F.when(F.col("_sd") > F.abs("_mu") * F.lit(1e-12), F.col("_sd")).otherwise(F.lit(1.0))
     z = F.abs(x - F.col("_mu")) / sd
     score = F.round(F.least(z / F.lit(cap), F.lit(1.0)), 6)
-    return df.join(stats, by).withColumn(out, score).drop("_mu", "_sd")
+    return join_on(df, stats, [by]).withColumn(out, score).drop("_mu", "_sd")
 
 
 def ratio(num: Column, den: Column, undefined: float | None = 0.0) -> Column:
@@ -43,7 +44,8 @@ def resolve_labels(df: DataFrame, external: DataFrame | None = None, row_id: str
     if external is None:
         return df.withColumn(out, own)
     # whether any row found an external label is decided once, as a single row
-    ext = external.select(row_id, F.col("label").cast("int").alias("_ext"))
+    # an id given more than once is an anomaly if any of its labels says so
+    ext = external.groupBy(row_id).agg(F.max(F.col("label").cast("int")).alias("_ext"))
     joined = df.join(ext, row_id, "left")
     any_ext = joined.agg((F.count("_ext") > 0).alias("_has"), F.lit(1).alias("_one"))
     return (
@@ -171,25 +173,34 @@ def recommend(df: DataFrame, cfg: TunerConfig = TunerConfig(), current_contamina
     """One row: recommended contamination and threshold with the F1 reached.
 
     Falls back to the expected rate when there is no detector score and to the
-    default threshold when there is no score at all.
+    default threshold when there is no score at all. Without any label the
+    answer is the unsupervised one.
     """
+    if label not in df.columns:
+        df = df.withColumn(label, F.lit(None).cast("int"))
+    free = recommend_unsupervised(df, cfg).select(
+        F.col("recommended_contamination").alias("_ucont"), F.col("recommended_threshold").alias("_uthr"), F.lit(1).alias("_one"))
     has = df.agg(
+        (F.count(label) > 0).alias("_sup"),
         (F.count("if_score") > 0).alias("_if"), (F.count("anomaly_score") > 0).alias("_any"), F.lit(1).alias("_one"))
     cont = pick_threshold(contamination_sweep(df, cfg.contamination_grid, label=label), cfg.metric, cfg.min_recall,
                           cfg.min_precision, "first").select("contamination", F.lit(1).alias("_one"))
     thr = pick_threshold(threshold_sweep(df, cfg, label=label), cfg.metric, cfg.min_recall, cfg.min_precision,
                          "first").select(F.col("threshold").alias("_thr"), F.col("f1").alias("_f1"), F.lit(1).alias("_one"))
-    # three single-row frames
-    one = has.join(F.broadcast(cont), "_one", "left").join(F.broadcast(thr), "_one", "left")
+    # four single-row frames
+    one = has.join(F.broadcast(cont), "_one", "left").join(F.broadcast(thr), "_one", "left").join(F.broadcast(free), "_one", "left")
+    sup = F.col("_sup")
     return one.select(
         F.lit(current_contamination).alias("current_contamination"),
-        F.round(F.when(F.col("_if"), F.col("contamination")).otherwise(F.lit(cfg.expected_rate)), 6)
+        F.when(~sup, F.col("_ucont")).otherwise(
+            F.round(F.when(F.col("_if"), F.col("contamination")).otherwise(F.lit(cfg.expected_rate)), 6))
         .alias("recommended_contamination"),
         F.lit(current_threshold).alias("current_threshold"),
-        F.round(F.when(F.col("_any"), F.col("_thr")).otherwise(F.lit(cfg.default_threshold)), 6)
+        F.when(~sup, F.col("_uthr")).otherwise(
+            F.round(F.when(F.col("_any"), F.col("_thr")).otherwise(F.lit(cfg.default_threshold)), 6))
         .alias("recommended_threshold"),
-        F.round(F.when(F.col("_any"), F.col("_f1")), 6).alias("f1_at_recommended"),
-        F.lit("supervised").alias("method"),
+        F.round(F.when(sup & F.col("_any"), F.col("_f1")), 6).alias("f1_at_recommended"),
+        F.when(sup, F.lit("supervised")).otherwise(F.lit("unsupervised")).alias("method"),
     )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import KEYS, InjectionConfig
+from ..functions.exprs import join_on
 from .series import with_positions
 
 # Later kinds overwrite earlier ones, in the labels and in the order applied.
@@ -34,12 +35,12 @@ def add_positions(df: DataFrame, seed: str, spikes: int | None, clamp: bool, key
             df.select(*keys, order, row_hash.alias("_hash")).withColumn("_rank", rank).filter(F.col("_rank") <= spikes)
             .select(*keys, order, F.lit(True).alias("drawn"))
         )
-        out = out.join(drawn, [*keys, order], "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
+        out = join_on(out, drawn, [*keys, order], "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
     else:
         out = out.withColumn("drawn", F.lit(False))
     if not clamp:
         return out.withColumn("series_rows", F.lit(None).cast("long"))
-    return out.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("series_rows")), keys)
+    return join_on(out, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("series_rows")), keys)
 
 
 def spike(x: Column, cfg: InjectionConfig) -> tuple[Column, Column]:

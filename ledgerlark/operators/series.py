@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import KEYS
+from ..functions.exprs import join_on
 
 COARSE_UNITS = ("hour", "day", "week", "month", "quarter", "year")
 
@@ -73,7 +74,7 @@ def with_positions(df: DataFrame, name: str = "pos", keys: Sequence[str] = KEYS,
     )
     inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
     return (
-        tagged.join(ahead, [*keys, "_segment"])
+        join_on(tagged, ahead, [*keys, "_segment"])
         .withColumn(name, F.col("_ahead") + F.row_number().over(inside) - 1)
         .select(*df.columns, name)
     )

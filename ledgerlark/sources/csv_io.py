@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import CANONICAL_FIELDS, TRAINING_SOURCES
 from ..functions.exprs import iso_text, iso_timestamp, number
@@ -61,13 +61,30 @@ def header_map(columns: list[str]) -> tuple[dict[str, str], bool]:
     return ({c: EXPORT_COLUMNS.get(k, k) if export else k for c, k in lowered.items()}, export)
 
 
-def load_billing_csv(spark: SparkSession, path: str) -> CsvLoad:
+def _occurrence(df: DataFrame):
+    """The frame and the number (from 0) of each row among those of its ``_key``.
+
+    Rows are numbered inside their input partition and the earlier partitions'
+    counts added, so many equal rows are not numbered in one task.
+    """
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    counts = placed.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_key", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_at")) - 1
+    return placed.join(counts, ["_key", "_part"]).withColumn("_nth", F.col("_ahead") + inside), F.col("_nth")
+
+
+def load_billing_csv(spark: SparkSession, path: str, multi_line: bool = False) -> CsvLoad:
     """Read billing CSV files; bad rows are marked, not dropped.
 
     Rows of a provider export whose ``cost_type`` is given and not ``regular``
-    (tax, adjustments) are skipped, as they are not usage.
+    (tax, adjustments) are skipped, as they are not usage. Rows of equal
+    content are usage of their own and get ids by occurrence. With
+    ``multi_line`` quoted fields may hold line breaks; a file is then one task.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    # files are read by position, so a file whose header differs is refused
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', enforceSchema=False, multiLine=multi_line)
     names, export = header_map(raw.columns)
     missing = sorted(set(UPLOAD_REQUIRED) - set(names.values()))
     if missing:
@@ -95,8 +112,9 @@ def load_billing_csv(spark: SparkSession, path: str) -> CsvLoad:
         .when(usage.isNull(), F.concat(F.lit("bad usage_amount: "), F.coalesce("usage_amount", F.lit(""))))
     )
     key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
+    df, nth = _occurrence(df.withColumn("_key", F.sha2(key, 256)))
     rows = df.select(
-        F.sha2(key, 256).alias("event_id"),
+        F.when(nth == 0, F.col("_key")).otherwise(F.sha2(F.concat_ws("|", "_key", nth), 256)).alias("event_id"),
         ts.alias("timestamp"),
         optional("provider", "gcp" if export else "custom", "custom").alias("provider"),
         F.trim("account_id").alias("account_id"),

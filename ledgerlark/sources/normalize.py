@@ -166,7 +166,9 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
         text = F.when(F.is_valid_utf8(text.cast("string")), text.cast("string"))
     df = df.withColumn("_text", text)
     df = df.withColumn("payload", _object(F.col("_text")))
-    # the second parse runs for rejects only
+    # from_json reads an object and ignores what follows it; the strict parse does not
+    strict = F.try_parse_json("_text").isNull()
+    df = df.withColumn("payload", F.when(~strict, F.col("payload")))
     return df.withColumn("error", F.when(F.col("payload").isNull(), _error(
         (F.col("_text").isNull(), "payload is not valid UTF-8."),
         (F.try_parse_json("_text").isNull(), "payload is not valid JSON."),

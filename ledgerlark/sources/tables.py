@@ -101,13 +101,15 @@ def upsert_anomalies(table: DataFrame, incoming: DataFrame) -> DataFrame:
     take = ("anomaly_score", "severity", "score_breakdown")
     t = table.withColumn("_old", F.lit(True)).alias("t")
     i = incoming.withColumn("_new", F.lit(True)).alias("i")
-    joined = t.join(i, list(ANOMALY_KEY), "full_outer")
+    joined = t.join(i, [F.col(f"t.{k}").eqNullSafe(F.col(f"i.{k}")) for k in ANOMALY_KEY], "full_outer")
 
     def value(c: str) -> Column:
         if c in keep:
             return F.when(F.col("t._old"), F.col(f"t.{c}")).otherwise(F.col(f"i.{c}"))
         if c in take:
             return F.when(F.col("i._new"), F.col(f"i.{c}")).otherwise(F.col(f"t.{c}"))
+        if c in ANOMALY_KEY:
+            return F.coalesce(F.col(f"t.{c}"), F.col(f"i.{c}"))
         return F.col(c)
 
     return joined.select(*[value(c).alias(c) for c in table.columns])
@@ -116,12 +118,14 @@ def upsert_anomalies(table: DataFrame, incoming: DataFrame) -> DataFrame:
 def change_status(table: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Next table version and audit rows for ``(anomaly_id, new_status, actor)`` updates.
 
-    ``updates`` holds one row per anomaly; any of the four states may follow
-    any other. Unknown ids are ignored.
+    Any of the four states may follow any other. Of several updates of one
+    anomaly the table takes the newest, the audit has all. Unknown ids are
+    ignored.
     """
     valid = updates.filter(F.col("new_status").isin(*STATUSES)).select("anomaly_id", "new_status", "actor", "changed_at")
-    joined = table.join(valid, "anomaly_id", "left")
-    nxt = joined.withColumn("status", F.coalesce("new_status", "status")).select(*table.columns)
+    newest = valid.groupBy("anomaly_id").agg(F.max_by("new_status", F.struct("changed_at", "new_status")).alias("_status"))
+    nxt = table.join(newest, "anomaly_id", "left").withColumn("status", F.coalesce("_status", "status")).select(*table.columns)
+    joined = table.join(valid, "anomaly_id")
     audit = joined.filter(F.col("new_status").isNotNull()).select(
         F.md5(F.concat_ws("|", F.lit("status"), "anomaly_id", F.col("changed_at").cast("string"))).alias("audit_id"),
         F.lit("anomaly").alias("event_type"),
