@@ -25,15 +25,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import connected_components, stored
+from .components import connected_components, discard, release_shuffles, stored
+
+
+def _ring(bins: int, rows: int, steps: tuple[int, ...], stride: int) -> tuple[tuple[int, ...], ...]:
+    """Bands over a ring of bins: every ``stride``-th start, by each step."""
+    return tuple(tuple((b + k * s) % bins for k in range(rows)) for s in steps for b in range(0, bins, stride))
 
 
 @dataclass(frozen=True)
 class LineConfig:
     shingle: int = 8
     bins: int = 20
-    #: Which bins make up each band: start and step over the ring of bins.
-    bands: tuple[tuple[int, ...], ...] = tuple(tuple((b + k * s) % 20 for k in range(4)) for s in (1, 3) for b in range(0, 20, 2))
+    #: Which bins make up each band.
+    bands: tuple[tuple[int, ...], ...] = _ring(20, 4, (1, 3), 4)
+    #: Bins (of three bits each) in which a pair may differ and still be compared.
+    differing: int = 11
     similarity: float = 0.8
     min_chars: int = 20
 
@@ -57,30 +64,56 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def distinct_lines(docs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """line_id (64-bit hash of the line) and line, once each."""
+def lines_in(docs: DataFrame, pairs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
+    """line_id and line, once each, of the lines in the pairs (a, b)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
-    return rows.groupBy(F.xxhash64("line").alias("line_id")).agg(F.min("line").alias("line"))
+    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi")
+    return stored(found.dropDuplicates(["line_id"]), "lines")
 
 
-def signatures(lines: DataFrame, config: LineConfig) -> DataFrame:
-    """line_id, n_chars and one column per bin."""
-    wide = lines.select("line_id", F.char_length("line").alias("n_chars"), F.encode("line", "UTF-32").alias("wide"))
-    each = wide.select("line_id", "n_chars", "wide", F.explode(_positions(F.col("n_chars"), config.shingle)).alias("i"))
-    hashed = each.select("line_id", "n_chars", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(config.shingle * 4))).alias("h"))
+def signatures(docs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
+    """line_id and one column per bin, of every distinct line.
+
+    A line's shingles become rows that the aggregation folds where they arise,
+    so equal lines meet as signatures and no text is shuffled.
+    """
+    lines = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
+    wide = lines.select(F.xxhash64("line").alias("line_id"), F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
+    each = wide.select("line_id", "wide", F.explode(_positions(F.col("n"), config.shingle)).alias("i"))
+    hashed = each.select("line_id", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(config.shingle * 4))).alias("h"))
     hashed = hashed.withColumn("bin", F.pmod(F.col("h"), F.lit(config.bins)))
-    mins = hashed.groupBy("line_id").agg(F.first("n_chars").alias("n_chars"), *(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(config.bins)))
+    mins = hashed.groupBy("line_id").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(config.bins)))
     # an empty bin takes the value of the next filled one, marked by the distance
     filled = {f"s{k}": F.coalesce(*(F.col(f"m{(k + d) % config.bins}") + d for d in range(config.bins))) for k in range(config.bins)}
-    return mins.select("line_id", "n_chars", *(c.alias(name) for name, c in filled.items()))
+    return mins.select("line_id", *(c.alias(name) for name, c in filled.items()))
 
 
 def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
-    """bucket, line_id, n_chars: one row per line and band, buckets of one line left out."""
-    bands = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"s{k}") for k in band)) for i, band in enumerate(config.bands)))
-    rows = stored(sigs.select("line_id", "n_chars", F.explode(bands).alias("bucket")), "line_buckets")
+    """bucket, line_id, code: one row per line and band, buckets of one line left out.
+
+    ``code`` keeps three bits of every bin. Buckets are 32-bit hashes: a chance
+    meeting costs a comparison and changes nothing.
+    """
+    code = F.lit(0).cast("long")
+    for k in range(config.bins):
+        code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"s{k}"), 40).bitwiseAND(F.lit(7).cast("long")), 3 * k))
+    bands = F.array(*(F.hash(F.lit(i), *(F.col(f"s{k}") for k in band)) for i, band in enumerate(config.bands)))
+    rows = stored(sigs.select("line_id", code.alias("code"), F.explode(bands).alias("bucket")), "line_buckets")
+    release_shuffles(sigs.sparkSession)
     shared = rows.groupBy("bucket").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo <> hi").select("bucket")
-    return stored(rows.join(shared, "bucket"), "line_shared")
+    out = stored(rows.join(shared, "bucket"), "line_shared")
+    discard(rows)
+    release_shuffles(sigs.sparkSession)
+    return out
+
+
+def alike(a: Column, b: Column, config: LineConfig) -> Column:
+    """Whether few enough bins differ in the codes for a comparison to be due."""
+    x = a.bitwiseXOR(b)
+    ones = F.lit(sum(1 << 3 * k for k in range(config.bins))).cast("long")
+    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
+    return F.bit_count(any_bit) <= config.differing
 
 
 def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame:
@@ -94,24 +127,25 @@ def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame
 
 def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: str = "text") -> DataFrame:
     """(id, comp) of every line that is linked with another one."""
-    lines = stored(distinct_lines(docs, config, text), "lines")
-    member = buckets(signatures(lines, config), config)
-    lines = stored(lines.join(member.select("line_id").distinct(), "line_id", "left_semi"), "line_candidates")
-    # sizes within which the similarity can be reached at all
-    w = config.shingle - 1
-    near = lambda p, q: F.least(p, q) - w >= config.similarity * 0.5 * (F.greatest(p, q) - w)  # noqa: E731  repeated shingles shrink a set
-    lead = member.groupBy("bucket").agg(F.min(F.struct("line_id", "n_chars")).alias("l"))
-    star = member.join(lead, "bucket").where(F.col("line_id") != F.col("l.line_id")).where(near(F.col("n_chars"), F.col("l.n_chars")))
-    star = star.select(F.col("l.line_id").alias("a"), F.col("line_id").alias("b")).distinct()
-    first = stored(similar(star, lines, config), "line_links")
+    spark = docs.sparkSession
+    member = buckets(signatures(docs, config, text), config)
+    lead = member.groupBy("bucket").agg(F.min(F.struct("line_id", "code")).alias("l"))
+    star = member.join(lead, "bucket").where(F.col("line_id") != F.col("l.line_id")).where(alike(F.col("code"), F.col("l.code"), config))
+    star = stored(star.select(F.col("l.line_id").alias("a"), F.col("line_id").alias("b")).distinct(), "line_star")
+    release_shuffles(spark)
+    first = stored(similar(star, lines_in(docs, star, config, text), config), "line_links")
+    release_shuffles(spark)
     comps = stored(connected_components(first), "line_comps").withColumnRenamed("id", "line_id")
     member = member.join(comps, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
     lead = member.groupBy("bucket").agg(F.min(F.struct("line_id", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     member = stored(member.join(lead.select("bucket", F.col("l.comp").alias("lead"), F.col("l.line_id").alias("lead_id")), "bucket"), "line_members")
-    other = member.where("comp <> lead").select("bucket", "lead_id", F.col("line_id").alias("x"), F.col("comp").alias("cx"), F.col("n_chars").alias("nx"))
-    pairs = other.join(member.select("bucket", F.col("line_id").alias("y"), F.col("comp").alias("cy"), F.col("n_chars").alias("ny")), "bucket")
-    pairs = pairs.where("cx <> cy and y <> lead_id").where(near(F.col("nx"), F.col("ny")))
-    second = similar(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), lines, config)
+    release_shuffles(spark)
+    other = member.where("comp <> lead").select("bucket", "lead_id", F.col("line_id").alias("x"), F.col("comp").alias("cx"), F.col("code").alias("kx"))
+    pairs = other.join(member.select("bucket", F.col("line_id").alias("y"), F.col("comp").alias("cy"), F.col("code").alias("ky")), "bucket")
+    pairs = pairs.where("cx <> cy and y <> lead_id").where(alike(F.col("kx"), F.col("ky"), config))
+    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
+    second = stored(similar(pairs, lines_in(docs, pairs, config, text), config), "line_links")
+    release_shuffles(spark)
     return connected_components(first.union(second))
 
 
