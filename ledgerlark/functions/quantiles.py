@@ -86,12 +86,17 @@ def exact_quantiles(
         F.min(F.when(F.col("_at").isNotNull() & (F.col("_upto") >= F.least(F.col("_k") + 1, F.col("_n"))),
                      F.col("_at"))).alias("_b"),
         F.first("_frac").alias("_frac"),
+        F.first("_k").alias("_k"),
+        F.coalesce(F.max(F.when(F.col("_at").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"),
     )
+    # the sketch's error bound keeps the rank inside the bracket; were it outside, no neighbour is passed off as it
+    inside = (F.col("_below") < F.col("_k")) & F.col("_a").isNotNull() & F.col("_b").isNotNull()
     result = F.when(F.col("_frac") == 0, F.col("_a")).otherwise(
         F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")
     )
     return picked.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_name") == n, result)).alias(n) for n in names
+        F.max(F.when(F.col("_name") == n, F.when(inside, result).otherwise(F.raise_error(F.lit("quantile rank outside its bracket"))))).alias(n)
+        for n in names
     ])
 
 

@@ -166,12 +166,13 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
         text = F.when(F.is_valid_utf8(text.cast("string")), text.cast("string"))
     df = df.withColumn("_text", text)
     df = df.withColumn("payload", _object(F.col("_text")))
-    # from_json reads an object and ignores what follows it; the strict parse does not
-    strict = F.try_parse_json("_text").isNull()
+    # both parsers ignore what follows an object; enclosed in an array and in
+    # another object, no following text is valid twice
+    strict = F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]"))).isNull() | F.try_parse_json(F.concat(F.lit('{"x":'), "_text", F.lit("}"))).isNull()
     df = df.withColumn("payload", F.when(~strict, F.col("payload")))
     return df.withColumn("error", F.when(F.col("payload").isNull(), _error(
         (F.col("_text").isNull(), "payload is not valid UTF-8."),
-        (F.try_parse_json("_text").isNull(), "payload is not valid JSON."),
+        (strict, "payload is not valid JSON."),
         (F.lit(True), "Event payload must be a JSON object."),
     ))).drop("_text")
 
