@@ -316,17 +316,13 @@ def _(spark, sf):
     return al.cooldown(frames.anomalies(spark, sf), COOL).select("anomaly_id", "suppressed")
 
 
-def _recent(spark, sf):
-    return frames.anomalies(spark, sf).filter(F.col("bucket") >= F.lit("2024-01-10 00:00:00").cast("timestamp"))
-
-
 def _old_alerts(spark, sf):
     return frames.alerts(spark, sf).filter(F.col("created_at") < F.lit("2024-01-12 00:00:00").cast("timestamp"))
 
 
 @query("l3_cooldown_resumed", with_("SELECT anomaly_id, suppressed FROM cooled_on", "cooled_on"))
 def _(spark, sf):
-    return al.cooldown(_recent(spark, sf), COOL, al.last_alerted(_old_alerts(spark, sf))).select("anomaly_id", "suppressed")
+    return al.cooldown(frames.anomalies(spark, sf), COOL, al.last_alerted(_old_alerts(spark, sf))).select("anomaly_id", "suppressed")
 
 
 @query("l4_alert_records", with_(
@@ -334,10 +330,10 @@ def _(spark, sf):
          CASE WHEN status = 'sent' THEN detected_at + INTERVAL 3 SECOND END AS sent_at, CASE WHEN status = 'failed' THEN repeat('x', 512) END AS error_detail
        FROM (SELECT a.* EXCLUDE (status), c.channel, a.anomaly_id || ':' || c.channel AS dedup_key, CASE WHEN k.suppressed THEN 'suppressed'
          WHEN c.channel = 'email' AND minute(a.detected_at) % 3 = 0 THEN 'failed' WHEN c.channel = 'email' AND minute(a.detected_at) % 3 = 1 THEN 'pending'
-         ELSE 'sent' END AS status FROM recent_anomalies a JOIN cooled_on k USING (anomaly_id), (VALUES ('in_app'), ('email')) c(channel))
-       WHERE dedup_key NOT IN (SELECT dedup_key FROM old_alerts)""", "recent_anomalies", "cooled_on", "old_alerts"))
+         ELSE 'sent' END AS status FROM anomalies a JOIN cooled_on k USING (anomaly_id), (VALUES ('in_app'), ('email')) c(channel))
+       WHERE dedup_key NOT IN (SELECT dedup_key FROM old_alerts)""", "anomalies", "cooled_on", "old_alerts"))
 def _(spark, sf):
-    recent = _recent(spark, sf)
+    recent = frames.anomalies(spark, sf)
     tries = F.minute("detected_at") % 3
     outcomes = al.expand_channels(recent, COOL.channels).withColumn(
         "state", F.when(F.col("channel") == "in_app", F.lit(2)).otherwise(tries)).select(

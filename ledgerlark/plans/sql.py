@@ -276,8 +276,8 @@ def cooldown_cte(name: str, src: str, hours: int = 1, state: str | None = None)
         ON e.account_id = c.account_id AND e.service = c.service AND e.region = c.region AND e.rn = c.rn + 1""", f"{name}_events")
 
 
-cte("recent_anomalies", "SELECT * FROM anomalies WHERE bucket >= TIMESTAMP '2024-01-10 00:00:00'", "anomalies")
 cte("old_alerts", "SELECT * FROM alerts WHERE created_at < TIMESTAMP '2024-01-12 00:00:00'", "alerts")
 cte("alert_state", f"SELECT {K}, max(created_at) AS last_alerted FROM old_alerts WHERE status <> 'suppressed' GROUP BY {K}", "old_alerts")
 cooldown_cte("cooled", "anomalies", 2)
-cooldown_cte("cooled_on", "recent_anomalies", 2, "alert_state")
+# all anomalies against the alerts remembered so far
+cooldown_cte("cooled_on", "anomalies", 2, "alert_state")
