@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
@@ -77,4 +79,7 @@ def ship_package(spark: SparkSession) -> None:
         if (pipeline := root.parent / "corpus_pipeline.py").exists():
             z.write(pipeline, pipeline.name)
     sc.addPyFile(str(archive))
+    # a stateful stream also starts a Python process that added files do not reach
+    for name in ("config", "functions", "operators", "streaming"):
+        cloudpickle.register_pickle_by_value(importlib.import_module(f"ledgerlark.{name}"))
     _shipped.add(sc.applicationId)
