@@ -3,7 +3,7 @@
 Equal lines are one line from the start. A line's shingles are its runs of
 SHINGLE characters (the whole line, if shorter), hashed once each; the least
 hash in each of BINS bins is its signature (one-permutation MinHash; an empty
-bin takes the next filled one). Bands of ROWS bins bring likely pairs together,
+bin takes one of the next three, else the least hash of all). Bands of ROWS bins bring likely pairs together,
 whose Jaccard similarity is then computed exactly from the shingles, and
 distributed union-find turns the links into components. One line per component
 stays: its first occurrence by document and position.
@@ -22,6 +22,7 @@ empty table; all other columns are kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,11 +37,13 @@ def _ring(bins: int, rows: int, steps: tuple[int, ...], stride: int) -> tuple[tu
 @dataclass(frozen=True)
 class LineConfig:
     shingle: int = 8
-    bins: int = 20
+    bins: int = 24
     #: Which bins make up each band.
-    bands: tuple[tuple[int, ...], ...] = _ring(20, 4, (1, 3), 4)
-    #: Bins (of three bits each) in which a pair may differ and still be compared.
+    bands: tuple[tuple[int, ...], ...] = _ring(24, 5, (1, 5, 7), 5)
+    #: Bins (of two bits each) in which a pair may differ and still be compared.
     differing: int = 11
+    #: Hashes per bin that a line's first pass looks at, on average.
+    filling: int = 4
     similarity: float = 0.8
     min_chars: int = 20
 
@@ -49,13 +52,14 @@ def _positions(n: Column, width: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
 
 
-def shingle_hashes(line: Column, width: int) -> Column:
+def shingle_hashes(wide: Column, width: int) -> Column:
     """Distinct shingle hashes of a line, as an array.
 
-    Four bytes per character make the cut of a shingle independent of its place.
+    ``wide`` is a stored column of the line in UTF-32: its four bytes per
+    character make the cut of a shingle independent of its place, and an
+    expression in its stead would be evaluated again for each shingle.
     """
-    wide = F.encode(line, "UTF-32")
-    at = _positions(F.char_length(line), width)
+    at = _positions((F.octet_length(wide) / 4).cast("int"), width)
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(width * 4)))))
 
 
@@ -65,45 +69,65 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def lines_in(docs: DataFrame, pairs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """line_id and line, once each, of the lines in the pairs (a, b)."""
+    """line_id and the line in UTF-32, once each, of the lines in the pairs (a, b)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
     found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi")
-    return stored(found.dropDuplicates(["line_id"]), "lines")
+    return stored(found.dropDuplicates(["line_id"]).select("line_id", F.encode("line", "UTF-32").alias("wide")), "lines")
+
+
+def _bin_minima(lines: DataFrame, config: LineConfig, bounded: bool) -> DataFrame:
+    """line_id, n and the least hash of each bin (NULL for an empty one) of (line, n)."""
+    wide = lines.select(F.xxhash64("line").alias("line_id"), "n", F.encode("line", "UTF-32").alias("wide"))
+    each = wide.select("line_id", "n", "wide", F.explode(_positions(F.col("n"), config.shingle)).alias("i"))
+    hashed = each.select("line_id", "n", "i", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(config.shingle * 4))).alias("h"))
+    if bounded:  # the first shingle is always there, so that every line has a row
+        small = F.shiftrightunsigned("h", 33) * F.col("n") < F.lit(config.filling * config.bins << 31)
+        hashed = hashed.where(small | (F.col("i") == 0))
+    # bins by low bits, order by the (unsigned) high ones
+    hashed = hashed.select("line_id", "n", F.pmod("h", F.lit(config.bins)).cast("int").alias("bin"), F.shiftrightunsigned("h", 1).alias("h"))
+    return hashed.groupBy("line_id", "n").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(config.bins)))
 
 
 def signatures(docs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """line_id and one column per bin, of every distinct line.
+    """line_id and sig, the values of all bins, of every distinct line.
 
     A line's shingles become rows that the aggregation folds where they arise,
-    so equal lines meet as signatures and no text is shuffled.
+    so equal lines meet as signatures and no text is shuffled. Least hashes are
+    small: the first pass takes only hashes below a bound that leaves a few in
+    each bin. A line that fills less than half of its bins so (it repeats few
+    shingles) is done again without the bound.
     """
-    lines = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
-    wide = lines.select(F.xxhash64("line").alias("line_id"), F.char_length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
-    each = wide.select("line_id", "wide", F.explode(_positions(F.col("n"), config.shingle)).alias("i"))
-    hashed = each.select("line_id", F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(config.shingle * 4))).alias("h"))
-    hashed = hashed.withColumn("bin", F.pmod(F.col("h"), F.lit(config.bins)))
-    mins = hashed.groupBy("line_id").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(config.bins)))
-    # an empty bin takes the value of the next filled one, marked by the distance
-    filled = {f"s{k}": F.coalesce(*(F.col(f"m{(k + d) % config.bins}") + d for d in range(config.bins))) for k in range(config.bins)}
-    return mins.select("line_id", *(c.alias(name) for name, c in filled.items()))
+    lines = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= config.min_chars)
+    mins = stored(_bin_minima(lines, config, True), "line_minima")
+    filled = sum((F.col(f"m{k}").isNotNull().cast("int") for k in range(config.bins)), F.lit(0))
+    weak = (F.col("n") > config.filling * config.bins) & (2 * filled < config.bins)
+    ids = stored(mins.where(weak).select(F.col("line_id").alias("_id")), "line_weak")
+    if not ids.isEmpty():  # else the join would shuffle all long lines to find none
+        again = lines.where(F.col("n") > config.filling * config.bins)
+        again = again.join(ids, F.xxhash64("line") == ids["_id"], "left_semi")
+        mins = mins.where(~weak).unionByName(_bin_minima(again, config, False))
+    # an empty bin takes the value of one of the next three, else the least of all
+    near = [[F.col(f"m{(k + d) % config.bins}") for d in range(4)] for k in range(config.bins)]
+    mins = mins.withColumn("low", F.least(*(F.col(f"m{k}") for k in range(config.bins))))
+    return mins.select("line_id", F.array(*(F.coalesce(*cols, "low") for cols in near)).alias("sig"))
 
 
 def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
     """bucket, line_id, code: one row per line and band, buckets of one line left out.
 
-    ``code`` keeps three bits of every bin. Buckets are 32-bit hashes: a chance
-    meeting costs a comparison and changes nothing.
+    ``code`` keeps two bits of every bin.
     """
-    code = F.lit(0).cast("long")
-    for k in range(config.bins):
-        code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"s{k}"), 40).bitwiseAND(F.lit(7).cast("long")), 3 * k))
-    bands = F.array(*(F.hash(F.lit(i), *(F.col(f"s{k}") for k in band)) for i, band in enumerate(config.bands)))
-    rows = stored(sigs.select("line_id", code.alias("code"), F.explode(bands).alias("bucket")), "line_buckets")
+    sigs = stored(sigs, "line_sigs")
     release_shuffles(sigs.sparkSession)
+    bits = (F.shiftleft(F.shiftright(F.col("sig")[k], 20).bitwiseAND(F.lit(3).cast("long")), 2 * k) for k in range(config.bins))
+    code = reduce(lambda x, y: x.bitwiseOR(y), bits)
+    bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[k] for k in band)) for i, band in enumerate(config.bands)))
+    rows = stored(sigs.select("line_id", code.alias("code"), bands.alias("bands")), "line_bands")
+    rows = rows.select("line_id", "code", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo <> hi").select("bucket")
     out = stored(rows.join(shared, "bucket"), "line_shared")
-    discard(rows)
+    discard(sigs)
     release_shuffles(sigs.sparkSession)
     return out
 
@@ -111,17 +135,23 @@ def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
 def alike(a: Column, b: Column, config: LineConfig) -> Column:
     """Whether few enough bins differ in the codes for a comparison to be due."""
     x = a.bitwiseXOR(b)
-    ones = F.lit(sum(1 << 3 * k for k in range(config.bins))).cast("long")
-    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
+    ones = F.lit(sum(1 << 2 * k for k in range(config.bins))).cast("long")
+    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones)
     return F.bit_count(any_bit) <= config.differing
 
 
 def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
-    a, b = lines.select(F.col("line_id").alias("a"), F.col("line").alias("la")), lines.select(F.col("line_id").alias("b"), F.col("line").alias("lb"))
+    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold.
+
+    Pairs are few bytes and much work, so they are spread over all shuffle
+    partitions first. The measures are written before the filter, which would
+    otherwise be pushed down and have them evaluated several times.
+    """
+    a, b = lines.select(F.col("line_id").alias("a"), F.col("wide").alias("la")), lines.select(F.col("line_id").alias("b"), F.col("wide").alias("lb"))
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     both = pairs.join(a, "a").join(b, "b").select(
         "a", "b", shingle_hashes(F.col("la"), config.shingle).alias("x"), shingle_hashes(F.col("lb"), config.shingle).alias("y"))
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t"))
+    both = stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures")
     return both.where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b")
 
 
