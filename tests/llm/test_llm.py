@@ -195,6 +195,13 @@ def test_line_dedup(spark):
     assert len(want) > 30 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_line_dedup_repetitive(spark):
+    """A long line of few distinct shingles fills few bins at first and is still found."""
+    docs = [(1, "abcde " * 300), (2, "abcde " * 300 + "x"), (3, "other text of a line, wholly unlike the rest of them")]
+    got = line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [(r["doc_id"], r["line_no"]) for r in got.collect()] == [(2, 0)]
+
+
 def test_line_dedup_hard(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "the same line of many characters\nshort"), (3, "the same line of many characters\n\nshort\n" + "z" * 9000), (4, "the same line of many characters")])
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
