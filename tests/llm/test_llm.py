@@ -383,3 +383,16 @@ def test_op8_digests(spark):
     row = {r["doc_id"]: r for r in bpe_automaton.digests(frame(spark), public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert row[1]["n_tokens"] == 0 and row[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert row[8]["decoded_sha256"] == hashlib.sha256(HARD[9][1].encode()).hexdigest()
+
+
+def test_ann_recall_settles(spark):
+    """Rounds and the walk's width follow the data: short lists and a narrow start reach the recall too."""
+    x = np.random.default_rng(8).standard_normal((3000, 32)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, config=ann.GraphConfig(degree=10, block=64, beam=16)).toPandas()
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q, g in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += (g["score"] >= np.sort(s)[-5] - 1e-9).sum()
+    assert hit >= 0.9 * 300
