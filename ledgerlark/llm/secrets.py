@@ -35,6 +35,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 SIZE = len(ALPHABET) + 1  # 0: outside the alphabet, and a word's border
 ORDINARY_CHARS = 8
+CANDIDATE_CHARS = 20
+#: Uniform share of the ordinary model: with it a pair's ratio has the same bound on a table of any size.
+UNIFORM = 0.02
 
 Span = tuple[str, int, int, int, float]  # kind, start, end, start of the value, score
 
@@ -44,7 +47,7 @@ class Thresholds:
     """Log-likelihood ratio that a candidate needs in all and per character."""
 
     total: float = 20.0
-    per_char: float = 6.5
+    per_char: float = 1.2
     distinct: int = 8
 
 
@@ -67,7 +70,8 @@ _symbols[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 def pair_counts(texts: list[str | None]) -> np.ndarray:
     """Counts of character pairs: [0] in values of secrets, [1] in ordinary words.
 
-    A word with a digit is not labelled: it may be a secret that no pattern finds.
+    A word with a digit trains the ordinary model up to the length from which it
+    may itself be a secret that no pattern finds.
     """
     out = np.zeros((2, SIZE * SIZE), np.int64)
     for first, last, cp, offsets in W.chunks(texts):
@@ -81,7 +85,7 @@ def pair_counts(texts: list[str | None]) -> np.ndarray:
         start, end = W.runs(sym > 0, offsets)
         inside = np.zeros(len(cp) + 1, np.int8)
         digits = np.concatenate([[0], np.cumsum((cp >= 48) & (cp <= 57))])
-        long = (end - start >= ORDINARY_CHARS) & (digits[end] == digits[start])
+        long = (end - start >= ORDINARY_CHARS) & ((digits[end] == digits[start]) | (end - start < CANDIDATE_CHARS))
         np.add.at(inside, start[long], 1)
         np.add.at(inside, end[long], -1)
         word = np.cumsum(inside[:-1]).astype(bool)
@@ -117,12 +121,14 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 def ratio(counts: np.ndarray) -> np.ndarray:
     """Rows of few pairs fall back to uniform for random strings, to the single
     characters' shares for ordinary words. Half of the random model's mass is
-    uniform, so that a few labelled formats do not rule others out."""
+    uniform, so that a few labelled formats do not rule others out, and a fixed
+    share of the ordinary one's, so that unseen pairs do not count the more the
+    larger the table is."""
     n = SIZE - 1
     random, ordinary = counts[0][1:, 1:], counts[1][1:, 1:]
     single = (ordinary.sum(0) + 0.5) / (ordinary.sum() + 0.5 * n)
     p = 0.5 * (random + 5.0 / n) / (random.sum(1, keepdims=True) + 5.0) + 0.5 / n
-    q = (ordinary + 5.0 * single) / (ordinary.sum(1, keepdims=True) + 5.0)
+    q = (1 - UNIFORM) * (ordinary + 5.0 * single) / (ordinary.sum(1, keepdims=True) + 5.0) + UNIFORM / n
     out = np.zeros((SIZE, SIZE))
     if ordinary.any():
         out[1:, 1:] = np.log(p) - np.log(q)
@@ -140,7 +146,7 @@ def scan(text: str | None, model: np.ndarray | None = None, limits: Thresholds =
     for m in CANDIDATE.finditer(text):
         word = m[0].strip("=-_/+")
         kinds = (any(c.islower() for c in word)) + (any(c.isupper() for c in word)) + (any(c.isdigit() for c in word))
-        if len(word) < 20 or kinds < 2 or len(set(word)) < limits.distinct or UUID.fullmatch(word):
+        if len(word) < CANDIDATE_CHARS or kinds < 2 or len(set(word)) < limits.distinct or UUID.fullmatch(word):
             continue
         if any(a < m.end() and m.start() < b for a, b in covered):
             continue

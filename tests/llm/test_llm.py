@@ -396,3 +396,15 @@ def test_ann_recall_settles(spark):
         s[q] = -9
         hit += (g["score"] >= np.sort(s)[-5] - 1e-9).sum()
     assert hit >= 0.9 * 300
+
+
+def test_secret_verdicts_hold_at_any_size(spark):
+    """The same strings are secrets, or none, by models of small and large tables."""
+    rng = random.Random(5)
+    random_strings = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 40))) for _ in range(200)]
+    clean = ["release-2024-05-17-build-20240517", "getElementByIdentifierName2024", "node-eu-west-1-instance-000042", "model_checkpoint_epoch_0012_step_34500"]
+    for scale, times in (("sf0.001", 1), ("sf0.01", 1), ("sf0.1", 1), ("sf0.1", 100)):
+        texts = [r[0] for r in spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").select("text").collect()]
+        model = secrets.ratio(times * secrets.pair_counts(texts).reshape(2, secrets.SIZE, secrets.SIZE).astype(float))
+        assert not any(secrets.scan(x, model) for x in clean), (scale, times)
+        assert sum(bool(secrets.scan(x, model)) for x in random_strings) >= 0.95 * len(random_strings), (scale, times)
