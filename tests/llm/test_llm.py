@@ -408,3 +408,12 @@ def test_secret_verdicts_hold_at_any_size(spark):
         model = secrets.ratio(times * secrets.pair_counts(texts).reshape(2, secrets.SIZE, secrets.SIZE).astype(float))
         assert not any(secrets.scan(x, model) for x in clean), (scale, times)
         assert sum(bool(secrets.scan(x, model)) for x in random_strings) >= 0.95 * len(random_strings), (scale, times)
+
+
+def test_html_raw_names():
+    """Self-closed drawings and custom elements take no text with them."""
+    body = "A sentence of the article that is long enough to be read as its main text, and then some more of it."
+    for tag in ('<svg class="i" />', "<svg/>", "<math/>", "<object-view>", "<title-bar>", "<object-view></object-view>"):
+        assert html_extract.extract(f"<html><body><article><p>{body}</p>{tag}<p>{body} End.</p></article></body></html>") == f"{body}\n{body} End.", tag
+    for raw in ("<svg width=1><path d=x /><text>no</text></svg>", "<title>no</title>", "<script>no</script>", "<script\n>no</script >"):
+        assert html_extract.extract(f"<article><p>{body}</p>{raw}<p>{body}</p></article>") == f"{body}\n{body}", raw
