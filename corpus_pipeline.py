@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar lines one stays in the whole corpus; every document stays."""
-    return _counted(line_dedup.dedup_lines(docs)).select(*docs.columns)
+    return _counted(line_dedup.dedup_lines(docs, line_dedup.WHOLE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Buckets are never cut: each tests its members with one leader, and then only
 pairs of different components, so a bucket of many copies costs its size.
 
 Defined results: lines with fewer than MIN_CHARS characters (blank ones too)
-are never compared and always stay; a NULL text stays NULL, an empty one empty;
+are never compared; they always stay, or, with ALL_REPEATS, go as exact repeats
+unless they are blank; a NULL text stays NULL, an empty one empty;
 a text all of whose lines went is empty and its row stays; rows
 with equal ids count as one document, so exact repeats of a row keep or lose
 the same lines; an empty table gives an
@@ -46,6 +47,18 @@ class LineConfig:
     filling: int = 4
     similarity: float = 0.8
     min_chars: int = 20
+    #: Whether exact repeats of shorter lines that hold a word go too.
+    all_repeats: bool = False
+
+
+#: Every line: one shorter than a shingle is its own only shingle, so no other line is similar to it.
+WHOLE = LineConfig(min_chars=8, all_repeats=True)
+
+
+def _counted(config: LineConfig) -> Column:
+    """Whether a line's exact repeats go."""
+    long = F.char_length("line") >= config.min_chars
+    return long | F.col("line").rlike(r"[^\x20\x09-\x0D]") if config.all_repeats else long
 
 
 def _positions(n: Column, width: int) -> Column:
@@ -183,7 +196,7 @@ def placed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str
     """line_id, comp and the first place (doc_id, line number) of every component with more than one occurrence."""
     comps = stored(line_components(docs, config, text), "line_final").withColumnRenamed("id", "line_id")
     # occurrences are counted per distinct line before anything meets by component
-    lines = lines_of(docs, id_col, text).where(F.char_length("line") >= config.min_chars)
+    lines = lines_of(docs, id_col, text).where(_counted(config))
     seen = lines.groupBy(F.xxhash64("line").alias("line_id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("at"))
     seen = seen.join(comps, "line_id", "left").where("comp is not null or n > 1").withColumn("comp", F.coalesce("comp", "line_id"))
     seen = stored(seen, "line_seen")
@@ -194,7 +207,7 @@ def placed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str
 def dropped_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, line_id, comp of every line that goes."""
     placed = placed_lines(docs, config, id_col, text)
-    lines = lines_of(docs, id_col, text).where(F.char_length("line") >= config.min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"))
+    lines = lines_of(docs, id_col, text).where(_counted(config)).select("doc_id", "line_no", F.xxhash64("line").alias("line_id"))
     hit = lines.join(placed, "line_id")
     return hit.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))).select("doc_id", "line_no", "line_id", "comp")
 

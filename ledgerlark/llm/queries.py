@@ -133,7 +133,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, line_dedup.WHOLE)
     return kept.select(
         "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines_kept"), F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -410,6 +410,23 @@ def test_secret_verdicts_hold_at_any_size(spark):
         assert sum(bool(secrets.scan(x, model)) for x in random_strings) >= 0.95 * len(random_strings), (scale, times)
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact repeats of short lines go, near copies of them too, blank lines stay."""
+    docs = [(1, "Read more\n\nok\nShare this page"), (2, "Read more\n\nok\nShare this page!\n}"), (3, "}\nRead more\nand no more")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.WHOLE)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: docs[0][1], 2: "\n}", 3: "and no more"}
+
+
+def test_line_dedup_short_recall(spark):
+    """Short lines that differ by a character at an end, against brute force."""
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(12, 19))).replace(" ", "_") for _ in range(300)]
+    docs = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, x + "X") for i, x in enumerate(lines)]
+    got = {r["doc_id"] for r in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.WHOLE).collect()}
+    want = {1000 + i for i, x in enumerate(lines) if len(x) - 7 >= 0.8 * (len(x) - 6)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_html_raw_names():
     """Self-closed drawings and custom elements take no text with them."""
     body = "A sentence of the article that is long enough to be read as its main text, and then some more of it."
