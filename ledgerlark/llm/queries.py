@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe_automaton, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, secrets, wavelet
+from . import (ann, bpe_automaton, centroids, divergence, html_extract, lang_id, line_dedup, ngram_join, packing, quality_rules, secrets, substring_dedup,
+               wavelet)
 from .components import stored
 
 WORD_BPE, WORD_BPE_BITS, END_ID = "word_bpe_49k.json", 16, 2
@@ -142,3 +143,97 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nn_descent")
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+tok AS MATERIALIZED (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS cq FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+voc AS MATERIALIZED (SELECT lang, count(*) AS v, sum(cq) AS nq FROM kept GROUP BY lang),
+grp AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+cnt AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM tok SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS MATERIALIZED (SELECT lang, source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+dense AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (cq + 5)) // (nq + 5 * v) AS BIGINT) AS q
+  FROM tot JOIN voc USING (lang) JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+vals AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, CAST(sum(abs(x.p - y.p)) AS BIGINT) AS f
+             FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+    ON z.lang = a.lang AND z.s = a.source AND z.o = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM dense WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM vals)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as one more table of assignments and one of centroids."""
+    ctes = [f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS c FROM (
+    SELECT x, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM kept) ORDER BY h, x LIMIT {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, vec_id, x, best.cluster AS cluster, best.distance AS distance FROM (
+    SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'distance': d, 'cluster': cluster}}) AS best FROM (
+      SELECT r, vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM kept, c{i})
+    GROUP BY r)),
+s{i} AS MATERIALIZED (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM (
+    SELECT cluster, j, sum(v) AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS j, unnest(x) AS v FROM a{i}) GROUP BY cluster, j)
+  GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (cluster))""")
+    return f"""WITH {",".join(ctes)}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+@query("op12_centroid_clustering", lloyd_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+win AS MATERIALIZED (
+  SELECT r, doc_id, i, array_to_string(words[i:i+12], ' ') AS g
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13 AND doc_id IS NOT NULL)),
+gone AS MATERIALIZED (
+  SELECT r, list_distinct(flatten(list(range(i, i + 13)))) AS spots
+  FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id GROUP BY r),
+kept AS (
+  SELECT w.r, doc_id, len(words) AS n, coalesce(len(spots), 0) AS n_gone FROM w LEFT JOIN gone ON w.r = gone.r),
+left_over AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM (
+    SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w)
+  ANTI JOIN (SELECT r, unnest(spots) AS i FROM gone) USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM kept LEFT JOIN left_over ON kept.r = left_over.r
+"""
+
+
+@query("op13_substring_dedup", OP13_SQL)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
