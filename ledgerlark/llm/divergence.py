@@ -5,12 +5,13 @@ language. Two groups are compared by the summed absolute differences of their
 shares, a group and its language by the terms it uses more.
 
 The comparison is a sparse matrix product in Gustavson's row order. Kept terms
-are dealt into blocks of a language; a block holds whole terms with the counts
-of all groups, as a term-major index. Each group in turn scatters its own terms
+are dealt into blocks; a block holds whole terms with the counts of all their
+groups, as a term-major index of each language. Each group in turn scatters its own terms
 through that index into one dense accumulator with a cell for each peer, so no
 pair of postings is ever a row: a block hands on one sum for each pair of
 groups. A term that a group lacks still has the share of a zero count there, its
-baseline z, which the sparse index does not hold. So with V terms in the block
+baseline z, which the sparse index does not hold. So with V terms of a language
+in the block
 
     sum |p - q| = V |z_p - z_q|
                 + sum over the one's terms of |p - z_q| - |z_p - z_q|
@@ -34,11 +35,13 @@ the item's UTF-8 bytes. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
@@ -55,8 +58,8 @@ class AuditConfig:
     smooth: int = 5
     #: Terms reported for a group.
     top: int = 50
-    #: Postings of a language to a block.
-    block: int = 1_000_000
+    #: Postings to a block.
+    block: int = 1 << 18
     #: Distinct (group, term) pairs that a task adds up before it hands them on.
     held: int = 400_000
 
@@ -138,15 +141,12 @@ def kept_terms(docs: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
         "lang", "source", "term", "n", (F.col("source") == F.col("_first")).cast("long").alias("lead"))
 
 
-def group_totals(docs: DataFrame, kept: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """Every occurring group: its and its language's occurrences, the language's terms and blocks."""
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("lead").alias("lead"), F.count(F.lit(1)).alias("postings"))
-    every = docs.select("lang", "source").distinct()
-    groups = every.join(sums, ["lang", "source"], "left").fillna(0)
-    lang = groups.groupBy("lang").agg(
-        F.sum("n").alias("lang_n"), F.sum("lead").alias("v"),
-        F.greatest(F.lit(1), F.ceil(F.sum("postings") / F.lit(cfg.block))).cast("int").alias("blocks"))
-    return groups.join(lang, "lang").select("lang", "source", "n", "lang_n", "v", "blocks")
+def group_totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every occurring group: its and its language's occurrences, and the language's terms."""
+    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("lead").alias("lead"))
+    groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").fillna(0)
+    lang = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum("lead").alias("v"))
+    return groups.join(lang, "lang").select("lang", "source", "n", "lang_n", "v")
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, terms: int, smooth: int) -> np.ndarray:
@@ -196,46 +196,45 @@ def compare_block(term: np.ndarray, group: np.ndarray, count: np.ndarray, totals
     return (len(index) - 1) * np.abs(z[:, None] - z[None, :]) + apart + apart.T + common, excess
 
 
+def _compare(lang: str, peers: pa.Table, rows: pa.Table, cfg: AuditConfig) -> pa.Table:
+    """Pair sums, and the best terms of each group, over one language's postings in a block."""
+    names = peers.column("source").to_pylist()
+    number = {s: i for i, s in enumerate(names)}
+    rows = rows.sort_by("term")
+    spelled = rows.column("term").to_pylist()
+    term = np.cumsum([i == 0 or t != spelled[i - 1] for i, t in enumerate(spelled)], dtype=np.int64) - 1
+    group = np.array([number[s] for s in rows.column("source").to_pylist()], np.int64)
+    apart, excess = compare_block(term, group, rows.column("n").to_numpy(), peers.column("n").to_numpy(),
+                                  peers.column("lang_n")[0].as_py(), peers.column("v")[0].as_py(), cfg.smooth)
+    one, other = np.nonzero(~np.eye(len(names), dtype=bool))
+    # terms are in the order of their bytes, so equal shares are too
+    above = np.flatnonzero(excess > 0)
+    order = above[np.lexsort((above, -excess[above], group[above]))]
+    order = order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < cfg.top]
+    source = [names[g] for g in np.concatenate([one, group[order]]).tolist()]
+    item = [names[g] for g in other.tolist()] + [spelled[i] for i in order.tolist()]
+    return pa.table(
+        [pa.array([lang] * len(source), pa.string()), pa.array(source, pa.string()),
+         pa.array(["pair"] * len(one) + ["term"] * len(order), pa.string()), pa.array(item, pa.string()),
+         pa.array(np.concatenate([apart[one, other], excess[order]]), pa.int64())], names=["lang", "source", "part", "item", "value"])
+
+
 def audit_blocks(kept: DataFrame, groups: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """lang, source, part, item, value of every block: pair sums, and the block's best terms of each group."""
-    lang_blocks = groups.select("lang", "blocks").distinct()
-    postings = kept.join(lang_blocks, "lang").select(
-        "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n")
-    every = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def run(key, peers: pa.Table, rows: pa.Table) -> pa.Table:
-        names = peers.column("source").to_pylist()
-        totals = peers.column("n").to_numpy()
-        lang_total, terms = peers.column("lang_n")[0].as_py(), peers.column("v")[0].as_py()
-        number = {s: i for i, s in enumerate(names)}
-        rows = rows.sort_by("term")
-        spelled = rows.column("term").to_pylist()
-        new = np.array([i == 0 or t != spelled[i - 1] for i, t in enumerate(spelled)], bool)
-        term = np.cumsum(new) - 1
-        group = np.array([number[s] for s in rows.column("source").to_pylist()], np.int64)
-        count = rows.column("n").to_numpy()
-        apart, excess = compare_block(term, group, count, totals, lang_total, terms, cfg.smooth)
-        source, part, item, value = [], [], [], []
-        for g, name in enumerate(names):
-            others = [i for i in range(len(names)) if i != g]
-            source += [name] * len(others)
-            part += ["pair"] * len(others)
-            item += [names[i] for i in others]
-            value += apart[g, others].tolist()
-        above = np.flatnonzero(excess > 0)
-        # terms are sorted by their bytes within equal shares
-        order = above[np.lexsort((term[above], -excess[above], group[above]))]
-        place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
-        for i in order[place < cfg.top].tolist():
-            source.append(names[group[i]])
-            part.append("term")
-            item.append(spelled[i])
-            value.append(int(excess[i]))
-        lang = [key[0].as_py()] * len(source)
-        return pa.table([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(part, pa.string()), pa.array(item, pa.string()),
-                         pa.array(value, pa.int64())], names=["lang", "source", "part", "item", "value"])
-
-    return every.groupBy("lang", "block").cogroup(postings.groupBy("lang", "block")).applyInArrow(
+    """lang, source, part, item, value of every block: pair sums, and the block's best terms of each group.
+
+    Blocks mix all languages, so one that holds most of the postings is no hot
+    key. The few rows of ``groups`` go to every block.
+    """
+    blocks = max(1, math.ceil(kept.count() / cfg.block))
+    postings = kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)).cast("int").alias("block"), "lang", "source", "term", "n")
+    every = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(peers: pa.Table, rows: pa.Table) -> pa.Table:
+        return pa.concat_tables(
+            _compare(lang, peers.filter(pc.equal(peers.column("lang"), lang)), rows.filter(pc.equal(rows.column("lang"), lang)), cfg)
+            for lang in pc.unique(peers.column("lang")).to_pylist())
+
+    return every.groupBy("block").cogroup(postings.groupBy("block")).applyInArrow(
         run, "lang string, source string, part string, item string, value bigint")
 
 
@@ -244,7 +243,7 @@ def audit(docs: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")}
     docs = docs.select(*text.values())
     kept = stored(kept_terms(docs, cfg), "audit_terms")
-    parts = audit_blocks(kept, group_totals(docs, kept, cfg), cfg)
+    parts = audit_blocks(kept, group_totals(docs, kept), cfg)
     whole = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item")))
     return whole.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= cfg.top))
