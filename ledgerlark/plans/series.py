@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..config import ForestConfig, GrowthConfig, ResidualConfig, RollingConfig, VolatilityConfig
 from ..operators import baseline, detectors, explain, features, rules, scoring, series
 from ..session import scratch_path
-from ..sources import tables
+from ..sources import models, tables
 from ..sources.adapters import NOW, billing, daily, hourly
 from . import frames
+from .detector_sql import COMPONENTS, FEATURES
 from .registry import query
 from .sql import BUDGET_LIMIT, K, NOW_SQL, PART, with_
 
@@ -297,12 +298,8 @@ def _training(spark, sf):
     return features.calendar_features(hourly(spark, sf))
 
 
-_FEATURES = ("total_cost", "total_usage", "event_count", "hour_of_day", "day_of_week", "day_of_month", "month", "is_weekend",
-             "is_business_hour", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
-
-
 @query("m7_feature_columns", with_(
-    "SELECT feature, (SELECT count(*) FROM hourly) AS n_rows FROM (VALUES " + ", ".join(f"('{c}')" for c in _FEATURES) + ") v(feature)", "hourly"))
+    "SELECT feature, (SELECT count(*) FROM hourly) AS n_rows FROM (VALUES " + ", ".join(f"('{c}')" for c in FEATURES) + ") v(feature)", "hourly"))
 def _(spark, sf):
     df = baseline.residuals(baseline.forecast(_training(spark, sf), frames.profile(spark, sf)))
     names = detectors.feature_columns(df)
@@ -331,27 +328,61 @@ def _(spark, sf):
     return every.join(kept, ["account_id", "service", "region"])
 
 
-@query("m9_isolation_forest_fit")
+def _forest(spark, sf):
+    return detectors.fit_forest(_training(spark, sf), ForestConfig())
+
+
+def _reconstruction(spark, sf):
+    return detectors.fit_reconstruction(_training(spark, sf))
+
+
+_NODES_SQL = "SELECT tree, node, coalesce(f - 1, -1) AS feature, cut, path FROM if_nodes"
+_VECTOR_NAMES = [f"component_{i}" for i in range(COMPONENTS)]
+
+
+def _vectors(rows):
+    """A row per feature of stored reconstructions: mean, deviation and weight in each component."""
+    per = rows.select(F.posexplode("features").alias("i", "feature"), "fill", "scale", "components")
+    return per.select(
+        "feature", F.get("fill", F.col("i")).alias("mean"), F.get("scale", F.col("i")).alias("std"),
+        *[F.get(F.get("components", F.lit(j)), F.col("i")).alias(c) for j, c in enumerate(_VECTOR_NAMES)])
+
+
+@query("m9_isolation_forest_fit", with_(_NODES_SQL, "if_nodes"), ("cut", "path"))
+def _(spark, sf):
+    return spark.createDataFrame(_forest(spark, sf).nodes, detectors.TREE_SCHEMA)
+
+
+@query("m10_isolation_forest_score", with_(f"SELECT {KBS}, if_score, if_anomaly FROM if_scored", "if_scored"), ("if_score",))
+def _(spark, sf):
+    return _forest(spark, sf).transform(_training(spark, sf)).select(*KB, "if_score", "if_anomaly")
+
+
+@query("m11_reconstruction_fit", with_("SELECT * FROM re_model", "re_model"), ("mean", "std", *_VECTOR_NAMES))
+def _(spark, sf):
+    return _vectors(spark.createDataFrame([_reconstruction(spark, sf).record()], detectors.MODEL_SCHEMA))
+
+
+@query("io15_forest_table", with_(f"SELECT 'v1' AS model_version, (SELECT n FROM if_size) AS train_rows, * FROM ({_NODES_SQL})", "if_nodes", "if_size"),
+       ("cut", "path"))
 def _(spark, sf):
-    model = detectors.fit_forest(_training(spark, sf), ForestConfig())
-    nodes = spark.createDataFrame(model.nodes, detectors.TREE_SCHEMA)
-    return nodes.groupBy("tree").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("path").alias("longest"))
+    root = scratch_path(spark, "detectors")
+    models.save(spark, _forest(spark, sf), root, "v1")
+    return models.records(spark, root).select("model_version", "train_rows", F.inline("trees"))
 
 
-@query("m10_isolation_forest_score")
+@query("io15_reconstruction_table", with_("SELECT * FROM re_model", "re_model"), ("mean", "std", *_VECTOR_NAMES))
 def _(spark, sf):
-    df = _training(spark, sf)
-    return detectors.fit_forest(df, ForestConfig()).transform(df).select(*KB, "if_score", "if_anomaly")
+    root = scratch_path(spark, "detectors")
+    models.save(spark, _reconstruction(spark, sf), root, "v1")
+    return _vectors(models.records(spark, root, "v1"))
 
 
-@query("m11_reconstruction_fit")
+@query("io15_stored_forest_score", with_(f"SELECT {KBS}, if_score, if_anomaly FROM if_scored", "if_scored"), ("if_score",))
 def _(spark, sf):
-    df = _training(spark, sf)
-    m = detectors.fit_reconstruction(df)
-    rows = [(f, mu, sd, *(c[i] for c in m.components)) for i, (f, mu, sd) in enumerate(zip(m.features, m.means, m.stds))]
-    names = ["feature", "mean", "std", *[f"component_{j}" for j in range(len(m.components))]]
-    return spark.createDataFrame(rows, names)
+    root = scratch_path(spark, "detectors")
+    models.save(spark, _forest(spark, sf), root)
+    return models.load(spark, root).transform(_training(spark, sf)).select(*KB, "if_score", "if_anomaly")
 
 
 @query("m11_standardisation", with_(
@@ -363,10 +394,9 @@ def _(spark, sf):
     return spark.createDataFrame(list(zip(m.features, m.means, m.stds)), "feature STRING, mean DOUBLE, std DOUBLE")
 
 
-@query("m12_reconstruction_score")
+@query("m12_reconstruction_score", with_(f"SELECT {KBS}, if_score, if_anomaly FROM re_scored", "re_scored"), ("if_score",))
 def _(spark, sf):
-    df = _training(spark, sf)
-    return detectors.fit_reconstruction(df).transform(df).select(*KB, "if_score", "if_anomaly")
+    return _reconstruction(spark, sf).transform(_training(spark, sf)).select(*KB, "if_score", "if_anomaly")
 
 
 @query("m13_retrain", with_(
@@ -451,11 +481,12 @@ def _(spark, sf):
     return frames.scored(spark, sf).select(*KB, "ts_signal", "if_score", "rule_score", "anomaly_score", "is_anomaly", "severity")
 
 
-@query("e6_full_ensemble")
+@query("e6_full_ensemble", with_(
+    f"SELECT {KBS}, ts_signal, if_score, if_anomaly, rule_score, anomaly_score, is_anomaly, severity FROM det_scored", "det_scored"),
+       ("ts_signal", "if_score", "rule_score", "anomaly_score"))
 def _(spark, sf):
-    df = _training(spark, sf)
-    model = detectors.fit_reconstruction(df)
-    out = scoring.score_series(df, frames.profile(spark, sf), model.transform, rules=frames.RULES)
+    model = _reconstruction(spark, sf)
+    out = scoring.score_series(_training(spark, sf), frames.profile(spark, sf), model.transform, rules=frames.RULES)
     return out.select(*KB, "ts_signal", "if_score", "if_anomaly", "rule_score", "anomaly_score", "is_anomaly", "severity")
 
 

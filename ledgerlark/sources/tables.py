@@ -21,22 +21,28 @@ ANOMALY_KEY = (*KEYS, "bucket")
 # -- versioned folders -------------------------------------------------------------
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def list_versions(spark: SparkSession, root: str) -> list[str]:
     """Complete versions in ascending order; unfinished ones lack the marker."""
-    fs, hroot = _fs(spark, root)
+    fs, hroot = file_system(spark, root)
     if not fs.exists(hroot):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(hroot)]
-    return sorted(n for n in names if fs.exists(_fs(spark, f"{root}/{n}/_SUCCESS")[1]))
+    return sorted(n for n in names if fs.exists(file_system(spark, f"{root}/{n}/_SUCCESS")[1]))
+
+
+def version_tag() -> str:
+    """Tags sort by time."""
+    return datetime.now(timezone.utc).strftime("v%Y%m%d_%H%M%S_%f")
 
 
 def write_version(df: DataFrame, root: str, version: str | None = None) -> str:
-    tag = version or datetime.now(timezone.utc).strftime("v%Y%m%d_%H%M%S_%f")
+    tag = version or version_tag()
     df.write.mode("errorifexists").parquet(f"{root}/{tag}")
     return tag
 
