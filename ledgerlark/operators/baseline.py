@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import KEYS, BaselineConfig, ResidualConfig
-from ..functions.exprs import clip, flag
+from ..functions.exprs import clip, flag, join_on
 from .features import calendar_features
 from .series import bucket_rollup, series_window
 
@@ -93,20 +93,22 @@ def ewma(df: DataFrame, target: str, alpha: float, out: str = "ewma", keys: Sequ
     w = series_window(keys, order)
     x = F.col(target).cast("double")
     keep = 1.0 - alpha
-    known = series_window([*keys, "_null"], order)
-    cur = df.withColumn("_null", x.isNull()).withColumn("_at", F.row_number().over(w))
-    old = F.pow(F.lit(keep), F.col("_at") - F.lag("_at").over(known))
-    first = F.row_number().over(known) == 1
-    cur = cur.withColumn("_fade", F.when(F.col("_null") | first, F.lit(0.0)).otherwise(old / (old + F.lit(alpha))))
-    cur = cur.withColumn(out, F.when(~F.col("_null"), (F.lit(1.0) - F.col("_fade")) * x))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # rows since the last known value; a series' first known value has none
+    cur = df.withColumn("_at", F.row_number().over(w))
+    cur = cur.withColumn("_gap", F.col("_at") - F.last(F.when(x.isNotNull(), F.col("_at")), ignorenulls=True).over(before))
+    old = F.pow(F.lit(keep), F.col("_gap"))
+    # a NULL is the step that changes nothing, what is unknown before the first value counts as zero
+    cur = cur.withColumn("_fade", F.when(x.isNull(), F.lit(1.0)).when(F.col("_gap").isNull(), F.lit(0.0)).otherwise(old / (old + F.lit(alpha))))
+    cur = cur.withColumn("_add", F.when(x.isNull(), F.lit(0.0)).otherwise((F.lit(1.0) - F.col("_fade")) * x))
     span = 1
     while keep > 0 and keep ** span > 1e-16:
         cur = cur.withColumns({
-            out: F.col(out) + F.col("_fade") * F.coalesce(F.lag(out, span).over(known), F.lit(0.0)),
-            "_fade": F.col("_fade") * F.coalesce(F.lag("_fade", span).over(known), F.lit(0.0))})
+            "_add": F.col("_add") + F.col("_fade") * F.coalesce(F.lag("_add", span).over(w), F.lit(0.0)),
+            "_fade": F.col("_fade") * F.coalesce(F.lag("_fade", span).over(w), F.lit(0.0))})
         span *= 2
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return cur.withColumn(out, F.last(out, ignorenulls=True).over(upto)).drop("_null", "_at", "_fade")
+    known = x.isNotNull() | F.col("_gap").isNotNull()
+    return cur.withColumn(out, F.when(known, F.col("_add"))).drop("_at", "_gap", "_fade", "_add")
 
 
 def ewma_memory(alpha: float) -> int:
@@ -144,9 +146,9 @@ def forecast(df: DataFrame, profile: DataFrame, cfg: BaselineConfig = BaselineCo
 
 
 def merge_forecast(actuals: DataFrame, predicted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Attach forecast columns by key; columns the actuals already have win."""
+    """Attach forecast columns by key, NULL matching NULL; columns the actuals already have win."""
     new = [c for c in predicted.columns if c not in actuals.columns]
-    return actuals.join(predicted.select(*on, *new), list(on), "left")
+    return join_on(actuals, predicted.select(*on, *new), list(on), "left")
 
 
 def residuals(df: DataFrame, cfg: ResidualConfig = ResidualConfig()) -> DataFrame:

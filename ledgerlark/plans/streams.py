@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import AlertConfig
+from ..operators import detectors, features
 from ..session import scratch_path
-from ..sources import tables
+from ..sources import models, tables
 from ..sources.adapters import EVENT_COLUMNS, RAW_TEXT, hourly, select_text
 from ..streaming import jobs
-from . import frames
+from . import detector_sql, frames  # noqa: F401  (defines the detectors' oracle text)
 from .registry import query
 from .sql import K, with_
 
@@ -74,6 +75,22 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("t4_score_stream_detector", with_(
+    f"SELECT {K}, bucket, ts_signal, if_score, if_anomaly, rule_score, anomaly_score, is_anomaly, severity FROM det_scored", "det_scored"),
+       ("ts_signal", "if_score", "rule_score", "anomaly_score"))
+def _(spark, sf):
+    """The stream scores against a stored detector; values are those of the batch ensemble."""
+    jobs.use_rocksdb(spark)
+    root = scratch_path(spark, "score-stream")
+    df = features.calendar_features(hourly(spark, sf))
+    models.save(spark, detectors.fit_reconstruction(df), f"{root}/detectors")
+    scored = jobs.score_stream(
+        _as_stream(spark, df, "buckets"), frames.profile(spark, sf), frames.RULES, detector=models.load(spark, f"{root}/detectors").transform)
+    _to_files(scored.select("account_id", "service", "region", "bucket", "ts_signal", "if_score", "if_anomaly", "rule_score", "anomaly_score",
+                            "is_anomaly", "severity"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("t5_cooldown_stream", with_("SELECT anomaly_id, suppressed FROM cooled", "cooled"))
 def _(spark, sf):
     jobs.use_rocksdb(spark)
@@ -100,3 +117,15 @@ def _(spark, sf):
     table = tables.read_version(spark, f"{root}/anomalies")
     return table.groupBy("severity", "status").agg(F.count(F.lit(1)).alias("n")).select("*", one).join(
         F.broadcast(totals), "_one").drop("_one")
+
+
+@query("t6_published_rows", with_(
+    f"""SELECT md5(account_id || '|' || service || '|' || region || '|' || CAST(bucket AS VARCHAR)) AS anomaly_id, {K}, bucket,
+          round(anomaly_score, 6) AS anomaly_score, severity, 'open' AS status FROM rule_scored WHERE is_anomaly = 1""", "rule_scored"),
+       ("anomaly_score",))
+def _(spark, sf):
+    root = scratch_path(spark, "publish-stream")
+    cols = ["account_id", "service", "region", "bucket", "anomaly_score", "is_anomaly", "severity"]
+    stream = _as_stream(spark, frames.rule_scored(spark, sf).select(*cols), "scored")
+    jobs.run_available(jobs.publish_scored(stream, root), f"{root}/checkpoint")
+    return tables.read_version(spark, f"{root}/anomalies").select("anomaly_id", *cols[:5], "severity", "status")

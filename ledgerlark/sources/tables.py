@@ -14,6 +14,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import KEYS, STATUSES, TRAINING_SOURCES
+from . import day_table
+from .day_table import file_system
 
 ANOMALY_KEY = (*KEYS, "bucket")
 
@@ -21,14 +23,11 @@ ANOMALY_KEY = (*KEYS, "bucket")
 # -- versioned folders -------------------------------------------------------------
 
 
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path for it."""
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
 def list_versions(spark: SparkSession, root: str) -> list[str]:
-    """Complete versions in ascending order; unfinished ones lack the marker."""
+    """Complete versions in ascending order; unfinished ones lack the marker, or the manifest of a table kept by day."""
+    by_day = day_table.versions(spark, root)
+    if by_day is not None:
+        return by_day
     fs, hroot = file_system(spark, root)
     if not fs.exists(hroot):
         return []
@@ -51,6 +50,8 @@ def read_version(spark: SparkSession, root: str, version: str | None = None) ->
     known = list_versions(spark, root)
     if not known or (version is not None and version not in known):
         raise FileNotFoundError(f"no version {version or 'at all'} in {root}; known: {known}")
+    if day_table.versions(spark, root) is not None:
+        return day_table.read(spark, root, version or known[-1])
     return spark.read.parquet(f"{root}/{version or known[-1]}")
 
 
@@ -82,6 +83,16 @@ def append_receipt(batch: DataFrame, appended: DataFrame) -> DataFrame:
         "accepted", (F.col("total") - F.col("accepted")).alias("duplicate"), "total")
 
 
+def anomaly_id() -> Column:
+    """A digest of key and bucket. Parts that are NULL or hold the separator are told apart by their JSON."""
+    parts = [*[F.col(k) for k in KEYS], F.col("bucket").cast("string")]
+    plain = F.lit(True)
+    for p in parts:
+        plain = plain & F.coalesce(~F.contains(p, F.lit("|")), F.lit(False))
+    named = F.to_json(F.struct(*[p.alias(c) for p, c in zip(parts, ANOMALY_KEY)]))
+    return F.md5(F.when(plain, F.concat_ws("|", *parts)).otherwise(named))
+
+
 def new_anomalies(scored: DataFrame, detected_at: Column, breakdown: str | None = None) -> DataFrame:
     """Anomaly records of a scored frame: flagged rows, one per key and bucket."""
     rows = scored.filter(F.col("is_anomaly") == 1).select(
@@ -92,7 +103,7 @@ def new_anomalies(scored: DataFrame, detected_at: Column, breakdown: str | None
     )
     single = first_per_key(rows, ANOMALY_KEY, [-F.col("anomaly_score"), F.col("severity"), F.col("score_breakdown")])
     return single.select(
-        F.md5(F.concat_ws("|", *KEYS, F.col("bucket").cast("string"))).alias("anomaly_id"),
+        anomaly_id().alias("anomaly_id"),
         *ANOMALY_KEY, "anomaly_score", "severity", "score_breakdown",
         F.lit("open").alias("status"), detected_at.alias("detected_at"))
 
