@@ -1,8 +1,11 @@
 """Exact quantiles that never sort a whole column in one task.
 
-A mergeable sketch first brackets each wanted rank; only the few rows inside a
-bracket are then ranked, after equal values were counted together map-side.
-The result is the exact order statistic, not the sketch's estimate.
+A mergeable sketch first brackets each wanted rank. The bracket is then cut into
+equal bins, rows are counted per bin, and only the bins that hold the rank stay.
+What is left is ranked, after equal values were counted together map-side. Each
+step only narrows where the rank can be, so the result is the exact order
+statistic, not an estimate, and the last step sees a few rows whatever the
+table's size.
 """
 
 from __future__ import annotations
@@ -11,7 +14,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .exprs import join_on
+
 ACCURACY = 10_000
+BINS = 4_096
 
 
 def sorted_quantile(ordered: Column, p: float) -> Column:
@@ -69,10 +75,8 @@ def exact_quantiles(
             wanted.withColumn("_k", F.greatest(F.lit(1), F.ceil(F.round(F.col("_p") * F.col("_n"), 9))).cast("long"))
             .withColumn("_frac", F.lit(0.0))
         )
-    # Without groups there are exactly len(probs) bracket rows; with groups the
-    # join strategy is left to the sizes AQE measures.
     named = rows.withColumn("_name", F.explode(F.array(*[F.lit(n) for n in names])))
-    joined = named.join(wanted if by else F.broadcast(wanted), [*by, "_name"])
+    joined = _met(named, narrowed(named, wanted, by), by)
     counted = (
         joined.filter(F.col("_v") <= F.col("_hi"))
         .withColumn("_at", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
@@ -100,6 +104,41 @@ def exact_quantiles(
     ])
 
 
+def _met(rows: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their group's brackets; NULL groups meet too.
+
+    Without groups there are as many bracket rows as wanted quantiles; with
+    groups the join strategy is left to the sizes AQE measures.
+    """
+    return join_on(rows, brackets if by else F.broadcast(brackets), [*by, "_name"])
+
+
+def narrowed(named: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Brackets ``_lo, _hi`` cut down to the bins that hold ranks ``_k`` and ``_k + 1``.
+
+    A bin's number rises with the value, so counts of whole bins locate a rank
+    exactly. At most ``BINS`` counts of a bracket come together.
+    """
+    part = [*by, "_name"]
+    width = F.col("_hi") - F.col("_lo")
+    share = (F.col("_v") - F.col("_lo")) / F.when(width > 0, width)
+    # a bracket of one value, or too wide for a double, stays one bin
+    bin_of = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(
+        F.coalesce(F.floor(F.when(share < float("inf"), share) * F.lit(float(BINS))).cast("int"), F.lit(0)))
+    carried = ("_k", "_frac", "_n", "_lo", "_hi")
+    counts = (
+        _met(named, wanted, by).filter(F.col("_v") <= F.col("_hi")).withColumn("_bin", bin_of)
+        .groupBy(*part, "_bin", *carried).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
+    upto = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_c").over(upto))
+    last = F.least(F.col("_k") + 1, F.col("_n"))
+    holds = (F.col("_bin") >= 0) & (F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < last)
+    cut = placed.groupBy(*part, "_k", "_frac", "_n").agg(
+        F.min(F.when(holds, F.col("_least"))).alias("_least"), F.max(F.when(holds, F.col("_most"))).alias("_most"),
+        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    return cut.select(*part, "_k", "_frac", "_n", F.coalesce("_least", "_lo").alias("_lo"), F.coalesce("_most", "_hi").alias("_hi"))
+
+
 def score_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), scale: int = 6,
                     alias: str = "quantiles") -> DataFrame:
     """Quantiles of a [0, 1] score held at ``scale`` decimals.

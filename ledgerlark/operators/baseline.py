@@ -86,9 +86,10 @@ def ewma(df: DataFrame, target: str, alpha: float, out: str = "ewma", keys: Sequ
     The first value of a series has full weight, later ones ``alpha``. A NULL
     adds nothing and repeats the mean, but the memory fades over its row too:
     after g rows the old mean has weight ``(1 - alpha)^g`` against ``alpha``.
-    Each known value is a step ``old -> fade * old + add``; steps are joined
-    over 1, 2, 4, ... of them until the dropped weight is below 1e-16, so the
-    cost per row is logarithmic in the memory length.
+    Each row is a step ``old -> fade * old + add``, a NULL one that changes
+    nothing; steps are joined over 1, 2, 4, ... rows until the dropped weight is
+    below 1e-16, so the cost per row is logarithmic in the memory length, and one
+    sort of a series serves it all.
     """
     w = series_window(keys, order)
     x = F.col(target).cast("double")
@@ -102,19 +103,25 @@ def ewma(df: DataFrame, target: str, alpha: float, out: str = "ewma", keys: Sequ
     cur = cur.withColumn("_fade", F.when(x.isNull(), F.lit(1.0)).when(F.col("_gap").isNull(), F.lit(0.0)).otherwise(old / (old + F.lit(alpha))))
     cur = cur.withColumn("_add", F.when(x.isNull(), F.lit(0.0)).otherwise((F.lit(1.0) - F.col("_fade")) * x))
     span = 1
-    while keep > 0 and keep ** span > 1e-16:
+    while _slowest(alpha) ** span > 1e-16:
         cur = cur.withColumns({
             "_add": F.col("_add") + F.col("_fade") * F.coalesce(F.lag("_add", span).over(w), F.lit(0.0)),
             "_fade": F.col("_fade") * F.coalesce(F.lag("_fade", span).over(w), F.lit(0.0))})
         span *= 2
-    known = x.isNotNull() | F.col("_gap").isNotNull()
-    return cur.withColumn(out, F.when(known, F.col("_add"))).drop("_at", "_gap", "_fade", "_add")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return cur.withColumn(out, F.last(F.when(x.isNotNull(), F.col("_add")), ignorenulls=True).over(upto)).drop("_at", "_gap", "_fade", "_add")
+
+
+def _slowest(alpha: float) -> float:
+    """The most that a row leaves of the old mean, whatever NULLs stand between the known values."""
+    keep = 1.0 - alpha
+    return max((keep ** g / (keep ** g + alpha)) ** (1.0 / g) for g in range(1, 65))
 
 
 def ewma_memory(alpha: float) -> int:
     """Rows of history :func:`ewma` looks at (the halo when series are cut)."""
-    span, keep = 1, 1.0 - alpha
-    while keep > 0 and keep ** span > 1e-16:
+    span = 1
+    while _slowest(alpha) ** span > 1e-16:
         span *= 2
     return span - 1
 

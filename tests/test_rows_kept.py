@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import frame, series_rows
 from ledgerlark.config import AlertConfig, InjectionConfig
 from ledgerlark.operators import alerts, baseline, evaluate, inject, series
 from ledgerlark.sources import csv_io, normalize, tables
@@ -94,3 +95,30 @@ def test_unlabelled_frame_is_tuned_unsupervised(spark):
     rows = [(None, i / 100, i / 100) for i in range(100)]
     got = evaluate.recommend(spark.createDataFrame(rows, "is_anomaly int, anomaly_score double, if_score double")).first()
     assert got["method"] == "unsupervised" and got["f1_at_recommended"] is None
+
+
+def test_ewma_over_null_runs(spark):
+    """Alternating, leading and very long runs of NULLs, against the sequential rule; one sort per series."""
+    costs = [None, None, 5.0, None, 7.0, None, 9.0] + [None] * 400 + [3.0, 4.0] + [None, 2.0, 8.0] * 60
+    alpha, mean, gap, want = 0.3, None, 0, []
+    for x in costs:
+        gap += 1
+        if x is not None:
+            old = (1 - alpha) ** gap
+            mean = x if mean is None else (old * mean + alpha * x) / (old + alpha)
+            gap = 0
+        want.append(mean)
+    df = baseline.ewma(frame(spark, series_rows(costs)), "total_cost", alpha)
+    got = [r["ewma"] for r in df.orderBy("bucket").collect()]
+    assert [g is None for g in got] == [w is None for w in want]
+    assert max(abs(g - w) for g, w in zip(got, want) if w is not None) < 1e-12
+    plan = baseline.ewma(frame(spark, series_rows(costs)), "total_cost", alpha)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
+def test_forecasts_of_null_keys_are_merged(spark):
+    rows = [r[:3] + (None,) + r[4:] for r in series_rows([1.0, 2.0])]
+    df = frame(spark, rows)
+    predicted = df.select("bucket", "account_id", "service", "region", F.lit(7.0).alias("forecast_mean"))
+    merged = baseline.merge_forecast(df, predicted, ["account_id", "service", "region", "bucket"])
+    assert [r.forecast_mean for r in merged.collect()] == [7.0, 7.0]
