@@ -35,12 +35,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, the one with the least id.
+    """One row of each group of linked ones stays: the one with the least id, a NULL id coming last.
 
-    Rows without an id have no group of their own id and stay.
+    Rows are told apart by a number of their own, so rows that share an id, or
+    have none, are judged each by its text. Documents without a word, as line
+    dedup leaves them of a text whose lines all stand elsewhere, are copies of
+    each other and one group.
     """
-    classes = ngram_join.classes(docs, NEAR).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(classes, docs["doc_id"] == classes["_id"], "left_anti")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near_rows")
+    classes = ngram_join.classes(rows, NEAR, id_col=row)
+    group = F.when(F.col("n_shingles") == 0, F.lit(-1)).otherwise(F.col("component_id"))
+    placed = classes.select(F.col("doc_id").alias("_of"), group.alias("_group"))
+    ids = rows.select(F.col(row).alias("_of"), F.col("doc_id").alias("_id"))
+    first = placed.join(ids, "_of").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_of")).alias("_first"))
+    kept = first.select(F.col("_first._of").alias("_of"))
+    return rows.join(kept, rows[row] == kept["_of"], "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
