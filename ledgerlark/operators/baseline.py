@@ -119,9 +119,12 @@ def _slowest(alpha: float) -> float:
 
 
 def ewma_memory(alpha: float) -> int:
-    """Rows of history :func:`ewma` looks at (the halo when series are cut)."""
-    span = 1
-    while _slowest(alpha) ** span > 1e-16:
+    """Rows of known history that matter to :func:`ewma` (the halo when series are cut).
+
+    Beyond them lies a weight below 1e-16, or below 1e-11 where most rows are NULL.
+    """
+    span, keep = 1, 1.0 - alpha
+    while keep > 0 and keep ** span > 1e-16:
         span *= 2
     return span - 1
 

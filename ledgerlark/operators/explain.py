@@ -232,19 +232,54 @@ def payload_json(column: str = "exp_breakdown") -> Column:
     return F.to_json(F.col(column), {"ignoreNullFields": "false"})
 
 
-def payload_errors(column: str = "exp_breakdown") -> Column:
-    """Contract check: empty array when the payload is valid."""
+COMPONENT_FIELDS = ("name", "label", "configured_weight", "effective_weight", "weighted_contribution", "active")
+RULE_NAMES = ("threshold_breach", "sudden_jump", "sustained_increase")
+
+
+def payload_errors(column: str = "exp_breakdown", parts: Sequence[str] = ("forecast_explanation", "rule_explanation")) -> Column:
+    """Contract check: the paths that break it, an empty array when the payload is valid.
+
+    Scores lie in [0, 1]; severity and direction come from fixed sets; the three
+    components are there in their order, with all numbers but the raw score.
+    ``parts`` names the optional fields that the payload has; one that is not
+    NULL must be complete.
+    """
     p = F.col(column)
 
-    def unit(field: str) -> Column:
-        v = p[field]
-        return F.when(v.isNull() | (v < 0) | (v > 1), F.lit(field))
+    def bad(when: Column, path: str) -> Column:
+        # an unknown condition breaks the contract too
+        return F.when(F.coalesce(when, F.lit(True)), F.lit(path))
 
-    return F.array_compact(F.array(
-        unit("anomaly_score"), unit("anomaly_threshold"),
-        F.when(p["severity"].isNotNull() & ~p["severity"].isin("none", "low", "medium", "high"), F.lit("severity")),
-        F.when(F.size(p["components"]) != 3, F.lit("components")),
-    ))
+    def unit(value: Column, path: str) -> Column:
+        return bad(F.isnan(value.cast("double")) | (value < 0) | (value > 1), path)
+
+    def lacks(field: str):
+        return lambda c: c[field].isNull()
+
+    checks = [
+        unit(p["anomaly_score"], "anomaly_score"), unit(p["anomaly_threshold"], "anomaly_threshold"), bad(p["is_anomaly"].isNull(), "is_anomaly"),
+        bad(p["severity"].isNotNull() & ~F.coalesce(p["severity"], F.lit("none")).isin("none", "low", "medium", "high"), "severity"),
+        bad(~F.transform(p["components"], lambda c: c["name"]).eqNullSafe(F.array(*[F.lit(n) for n in COMPONENT_LABELS])), "components"),
+        *[bad(F.exists(p["components"], lacks(f)), f"components.{f}") for f in COMPONENT_FIELDS],
+        bad(F.exists(p["components"], lambda c: ~F.coalesce(c["effective_weight"], F.lit(0.0)).between(0, 1)), "components.effective_weight"),
+    ]
+    if "forecast_explanation" in parts:
+        f = p["forecast_explanation"]
+        found = [
+            *[bad(f[c].isNull(), f"forecast_explanation.{c}") for c in ("actual", "summary")],
+            bad(~f["direction"].isin("above", "below", "within", "unknown"), "forecast_explanation.direction"),
+            bad(F.exists(F.map_values(f["ci_breaches"]), lambda x: x.isNull()), "forecast_explanation.ci_breaches"),
+        ]
+        checks += [F.when(f.isNotNull(), c) for c in found]
+    if "rule_explanation" in parts:
+        r = p["rule_explanation"]
+        found = [bad(r[c].isNull(), f"rule_explanation.{c}") for c in ("triggered_rules", "summary")]
+        for name in RULE_NAMES:
+            path = f"rule_explanation.{name}"
+            found += [bad(r[name][c].isNull(), f"{path}.{c}") for c in ("rule", "fired", "reason")]
+            found.append(unit(r[name]["score"], f"{path}.score"))
+        checks += [F.when(r.isNotNull(), c) for c in found]
+    return F.array_distinct(F.array_compact(F.array(*checks)))
 
 
 def pick_examples(df: DataFrame, row_id: str = "row_id") -> DataFrame:

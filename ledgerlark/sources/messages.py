@@ -68,13 +68,20 @@ def write_dead_letters(records: DataFrame, path: str) -> None:
     records.select(*DEAD_LETTER_FIELDS).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+#: Where a line stands: when its file was written, the file, the block of it that a task reads, the order there.
+POSITION = ("_written", "_file", "_block", "_line")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty dead-letter lines; a folder that does not exist has none."""
+    """Non-empty dead-letter lines and their positions; a folder that does not exist has none."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "value STRING")
-    return spark.read.text(path).select(F.trim("value").alias("value")).filter(F.col("value") != "")
+        return spark.createDataFrame([], "value STRING, _written TIMESTAMP, _file STRING, _block LONG, _line LONG")
+    lines = spark.read.text(path).select(
+        F.trim("value").alias("value"), F.col("_metadata.file_modification_time").alias("_written"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return lines.filter(F.col("value") != "")
 
 
 def count_lines(lines: DataFrame) -> DataFrame:
@@ -94,12 +101,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def tail(lines: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest records. The tail is taken over all lines, malformed ones
-    included, and only then are malformed lines dropped; a distributed file has
-    no line order, so newest means ``failed_at`` then ``message_id``."""
+    included, and only then are malformed lines dropped. Lines of
+    :func:`read_lines` have a place in their files, and newest means last; for
+    others it means ``failed_at`` then ``message_id``."""
     if limit is not None:
-        lines = lines.orderBy(
-            F.get_json_object("value", "$.failed_at").desc_nulls_last(),
-            F.get_json_object("value", "$.message_id").desc_nulls_last(), F.col("value").desc()).limit(limit)
+        if set(POSITION) <= set(lines.columns):
+            newest = [F.col(c).desc() for c in POSITION]
+        else:
+            newest = [F.get_json_object("value", "$.failed_at").desc_nulls_last(),
+                      F.get_json_object("value", "$.message_id").desc_nulls_last(), F.col("value").desc()]
+        lines = lines.orderBy(*newest).limit(limit)
     return parse_lines(lines)
 
 
