@@ -12,35 +12,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import KEYS, InjectionConfig
 from ..functions.exprs import join_on
-from .series import with_positions
+from .series import place, segment_counts, tag_segments
 
 # Later kinds overwrite earlier ones, in the labels and in the order applied.
 KINDS = ("spike", "drift", "level_shift", "budget_breach")
 
 
-def add_positions(df: DataFrame, seed: str, spikes: int | None, clamp: bool, keys: Sequence[str] = KEYS,
-                  order: str = "bucket") -> DataFrame:
-    """``pos`` (0-based time order), ``drawn`` (spike row), ``series_rows``.
+def add_positions(df: DataFrame, seed: str, spikes: int | None, keys: Sequence[str] = KEYS, order: str = "bucket",
+                  target: str = "total_cost", budget: float | None = None) -> DataFrame:
+    """``pos`` (0-based time order), ``series_rows``, ``_budget``, ``drawn`` (spike row).
 
-    Positions come from counted time segments, and the drawn rows from a
-    per-series top-k that Spark limits before the shuffle, so a long series is
-    never gathered in one task.
+    One table of counted time segments gives positions, series lengths and the
+    mean cost, which is the budget unless one is given. The drawn rows come from
+    a per-series top-k that Spark limits before the shuffle. So a long series is
+    never gathered in one task, and the input is read three times at most.
     """
     keys = list(keys)
-    out = with_positions(df, "pos", keys, (order,))
-    if spikes and spikes > 0:
-        row_hash = F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col(order).cast("string")))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
-        drawn = (
-            df.select(*keys, order, row_hash.alias("_hash")).withColumn("_rank", rank).filter(F.col("_rank") <= spikes)
-            .select(*keys, order, F.lit(True).alias("drawn"))
-        )
-        out = join_on(out, drawn, [*keys, order], "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
+    tagged = tag_segments(df, order)
+    cost = F.col(target).cast("double")
+    counts = segment_counts(tagged, keys, _sum=cost, _known=cost.isNotNull().cast("long"))
+    out = place(tagged, counts, "pos", keys, (order,)).withColumnRenamed("_total", "series_rows")
+    if budget is None:
+        mean = counts.agg((F.sum("_sum") / F.nullif(F.sum("_known"), F.lit(0))).alias("_budget"), F.lit(1).alias("_one"))
+        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").drop("_one")
     else:
-        out = out.withColumn("drawn", F.lit(False))
-    if not clamp:
-        return out.withColumn("series_rows", F.lit(None).cast("long"))
-    return join_on(out, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("series_rows")), keys)
+        out = out.withColumn("_budget", F.lit(float(budget)))
+    if not spikes or spikes < 0:
+        return out.withColumn("drawn", F.lit(False))
+    row_hash = F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col(order).cast("string")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
+    drawn = (
+        df.select(*keys, order, row_hash.alias("_hash")).withColumn("_rank", rank).filter(F.col("_rank") <= spikes)
+        .select(*keys, order, F.lit(True).alias("drawn"))
+    )
+    return join_on(out, drawn, [*keys, order], "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))
 
 
 def spike(x: Column, cfg: InjectionConfig) -> tuple[Column, Column]:
@@ -91,12 +96,9 @@ def inject(df: DataFrame, cfg: InjectionConfig, target: str = "total_cost", keys
     Costs end non-negative at six decimals. The default budget is the mean cost
     of all rows before injection.
     """
-    base = add_positions(df, cfg.seed, cfg.spike_count, cfg.budget_start is not None, keys, order)
-    if cfg.budget_start is not None and cfg.budget is None:
-        mean = df.agg(F.avg(target).alias("_budget"), F.lit(1).alias("_one"))
-        base = base.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").drop("_one")
-    else:
-        base = base.withColumn("_budget", F.lit(1000.0 if cfg.budget is None else float(cfg.budget)))
+    # without a budget kind nothing reads the mean
+    budget = 1000.0 if cfg.budget is None and cfg.budget_start is None else cfg.budget
+    base = add_positions(df, cfg.seed, cfg.spike_count, keys, order, target, budget)
     hits = {}
     x, hits["spike"] = spike(F.col(target), cfg)
     base = base.withColumn("_x", x)

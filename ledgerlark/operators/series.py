@@ -54,6 +54,32 @@ def needs_split(unit: str) -> bool:
     return unit not in COARSE_UNITS
 
 
+def split_for(unit: str) -> SplitConfig | None:
+    """How series rolled up to ``unit`` are cut: not at all where the calendar bounds them."""
+    return SplitConfig() if needs_split(unit) else None
+
+
+def tag_segments(df: DataFrame, order: str = "bucket", seconds: int = 86_400) -> DataFrame:
+    """Adds ``_segment``, the number of the time segment a row lies in."""
+    return df.withColumn("_segment", F.floor(F.unix_micros(F.col(order).cast("timestamp")) / (seconds * 1_000_000)))
+
+
+def segment_counts(tagged: DataFrame, keys: Sequence[str] = KEYS, **sums: Column) -> DataFrame:
+    """One row per key and segment: ``_rows`` in it, ``_ahead`` in earlier segments, ``_total`` in the series, and sums of columns."""
+    keys = list(keys)
+    series = Window.partitionBy(*keys)
+    earlier = series.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    return counts.withColumns({"_ahead": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_total": F.sum("_rows").over(series)})
+
+
+def place(tagged: DataFrame, counts: DataFrame, name: str = "pos", keys: Sequence[str] = KEYS, order: Sequence[str] = ("bucket",)) -> DataFrame:
+    """0-based position in the series, and ``_total``, from the counts of its segments."""
+    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
+    joined = join_on(tagged, counts.select(*keys, "_segment", "_ahead", "_total"), [*keys, "_segment"])
+    return joined.withColumn(name, F.col("_ahead") + F.row_number().over(inside) - 1).drop("_ahead", "_segment")
+
+
 def with_positions(df: DataFrame, name: str = "pos", keys: Sequence[str] = KEYS, order: Sequence[str] = ("bucket",),
                    segment_seconds: int = 86_400) -> DataFrame:
     """0-based position of every row in its series, without one task per series.
@@ -61,23 +87,8 @@ def with_positions(df: DataFrame, name: str = "pos", keys: Sequence[str] = KEYS,
     Rows are numbered inside a time segment; the rows of all earlier segments
     are added from a table of one count per key and segment.
     """
-    keys = list(keys)
-    tagged = df.withColumn(
-        "_segment", F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (segment_seconds * 1_000_000)))
-    ahead = (
-        tagged.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_ahead", F.coalesce(
-            F.sum("_rows").over(
-                Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
-    return (
-        join_on(tagged, ahead, [*keys, "_segment"])
-        .withColumn(name, F.col("_ahead") + F.row_number().over(inside) - 1)
-        .select(*df.columns, name)
-    )
+    tagged = tag_segments(df, order[0], segment_seconds)
+    return place(tagged, segment_counts(tagged, keys), name, keys, order).select(*df.columns, name)
 
 
 def over_series(

@@ -49,6 +49,18 @@ def _(spark, sf, cols=tuple(_dcols)):
     return features.rolling_features(daily(spark, sf)).select(*KB, *cols)
 
 
+_sql, _mcols = _rolling_sql("minutely")
+
+
+@query("f1_rolling_minute", with_(_sql, "minutely"), _mcols, digits=4)
+def _(spark, sf, cols=tuple(_mcols)):
+    """Minute series have no calendar bound worth the name and are cut."""
+    minutes = series.bucket_rollup(billing(spark, sf), "minute")
+    cut = series.over_series(
+        minutes, lambda df, part: features.rolling_features(df, keys=part), before=max(WINDOWS), split=series.split_for("minute"))
+    return cut.select(*KB, *cols)
+
+
 _z = [f"total_cost_roll{n}_zscore" for n in WINDOWS]
 
 
