@@ -67,8 +67,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = body
     for s in SYMBOLS:
         plain = F.replace(plain, F.lit(s), F.lit(""))
-    out = docs.drop(*MEASURES).select(
-        "*",
+    # the given columns travel in one struct, so that no name of theirs meets one of these
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]).alias("_given")
+    out = docs.select(
+        given,
         F.array_remove(F.split(body, WORD_GAP), "").alias("_words"),
         (F.octet_length(body) - F.octet_length(plain)).cast("long").alias("n_symbols"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -96,7 +98,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform(t, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(t, i + 1) - x, F.lit(WINDOW))).cast("long")),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_twice")
+    measured = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_twice")
+    return measured.select("_given.*", *[c for c in measured.columns if c != "_given"])
 
 
 def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:

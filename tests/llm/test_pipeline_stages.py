@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
+from ledgerlark.llm import quality_rules
 from ledgerlark.llm.components import stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row int, _id string, _of bigint, extra string"
@@ -58,3 +59,14 @@ def test_stages_take_hard_rows(spark, name):
         if name in ("line_dedup", "secret_scan"):
             assert n == len(rows)
         assert out.columns == docs.columns
+
+
+def test_ledger_takes_clashing_names(spark):
+    """Columns named like the ledger's own working columns are kept as they are; measured names are replaced."""
+    own = ["_words", "_lines", "_hash", "_placed", "_twice", "_given", "a.b"]
+    df = spark.createDataFrame([(1, "one two three two", 9, *range(7))], ["doc_id", "text", "n_words", *own])
+    out = quality_rules.ledger(df)
+    row = out.first().asDict()
+    assert [row[c] for c in own] == list(range(7)) and row["n_words"] == 4
+    plain = quality_rules.ledger(df.select("doc_id", "text")).first().asDict()
+    assert {k: v for k, v in row.items() if k not in own} == plain
