@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -434,3 +435,71 @@ def test_html_raw_names():
         assert html_extract.extract(f"<html><body><article><p>{body}</p>{tag}<p>{body} End.</p></article></body></html>") == f"{body}\n{body} End.", tag
     for raw in ("<svg width=1><path d=x /><text>no</text></svg>", "<title>no</title>", "<script>no</script>", "<script\n>no</script >"):
         assert html_extract.extract(f"<article><p>{body}</p>{raw}<p>{body}</p></article>") == f"{body}\n{body}", raw
+
+
+def article_page(*inner, after=""):
+    return PAGE % ("<main>" + "".join(inner) + "</main>" + after, "side " * 50, "I disagree " * 60)
+
+
+def test_html_surge_and_dive_decide(monkeypatch):
+    """With the runs switched off, marked pages and others come out wrong."""
+    p = "A sentence of the text, long enough to stand for a paragraph of it, and on it goes to its end."
+    marked, plain = article_page(f"<article><p>{p}</p><p>short</p></article>"), PAGE % (f"<div><p>{p}</p><p>short</p></div>", "side " * 50, "no " * 60)
+    want = [f"{p}\nshort"] * 2
+    assert [html_extract.extract(x) for x in (marked, plain)] == want
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "SURGE", 10**9)
+        assert html_extract.extract(marked) == ""
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "runs", lambda lengths, *a: [(0, len(lengths))])
+        assert all(html_extract.extract(x) != w for x, w in zip((marked, plain), want))
+
+
+def test_html_keeps_whole_articles():
+    p = "A sentence of the text, long enough to stand for a paragraph of it, and on it goes to its end."
+    ad = '<div class="ad">Buy this now, it is the best there is and was, and cheap as well, really.</div>'
+    for name in ('section id="related-work"', 'section class="notice-period"', 'div class="entry-header"', 'div class="search-results-analysis"',
+                 'div title="a class=ad"', 'div data-x="hidden comments"', "header"):
+        tag = name.split()[0]
+        assert html_extract.extract(article_page(f"<article><{name}><h1>Title</h1></{tag}><p>{p}</p></article>")) == f"Title\n{p}", name
+    for name in ("ad", "site-footer", "cookie-banner", "related-posts", "share-buttons", "newsletter-form", "comment-list"):
+        assert html_extract.extract(article_page(f'<article><p>{p}</p><div class="{name}">{p} x</div><p>End</p></article>')) == f"{p}\nEnd", name
+    # title and lead of a main element, two articles, equal ones, adverts between
+    got = html_extract.extract(article_page("<h1>Title</h1><p>Lead</p>", f"<article><p>{p}</p></article>", ad, f"<article><p>{p}</p><p>x</p></article>", ad))
+    assert got == f"Title\nLead\n{p}\n{p}\nx"
+    # no mark: a short paragraph after an advert, and one of two texts far smaller than the other
+    body = f"<div><p>{p}</p>{ad}<p>Short end.</p></div>"
+    assert html_extract.extract(PAGE % (body, "side " * 50, "no " * 60)) == f"{p}\nShort end."
+    body = f"<div>{f'<p>{p}</p>' * 40}</div>{ad}<div><p>{p} Last.</p></div>"
+    assert html_extract.extract(PAGE % (body, "side " * 50, "no " * 60)).endswith(f"{p}\n{p} Last.")
+
+
+def test_html_every_word_of_generated_pages():
+    """Words are labelled where a page is built; the text holds the article's, in order, and no other."""
+    rng = random.Random(9)
+    for k in range(200):
+        n, words, parts = 0, [], []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.choice(["p", "p", "p", "h2", "li", "ad", "aside", "script", "form", "comment"])
+            take = [f"w{k}x{n + i}" for i in range(rng.choice([1, 3, 30]))]
+            n += len(take)
+            text = " ".join(take)
+            if kind in ("p", "h2", "li"):
+                words += take
+            parts.append({"p": f"<p>{text}", "h2": f"<h2>{text}</h2>", "li": f"<ul class=x><li>{text}</ul>", "ad": f"<div class=ad><p>{text}</div>",
+                          "aside": f"<aside>{text}</aside>", "script": f"<script>'<p>{text}'</script>", "form": f"<form><p>{text}</form>",
+                          "comment": f"<!-- <p>{text} -->"}[kind])
+        tag = rng.choice(["article", "main", 'div itemprop="articleBody"', "div class=entry-content"])
+        page = PAGE % (f"<{tag}>{''.join(parts)}</{tag.split()[0]}>", "side " * 50, "I disagree " * 60)
+        assert html_extract.extract(page).split() == words, page
+
+
+def test_html_linear():
+    """Hostile pages of a megabyte; quadratic scans took minutes."""
+    for bad in ("<a " * 350_000 + '"', '<a x="' * 170_000, "<" * 1_000_000, "<a x=' " * 70_000 + '<b y=">' * 70_000, '<a """' * 170_000 + ">", "<a 'x>" * 150_000,
+                "<!-- " * 200_000, "<div>" * 100_000 + "</section>" * 60_000, "<script>" * 120_000):
+        began = time.monotonic()
+        html_extract.extract(bad)
+        assert time.monotonic() - began < 10, bad[:8]
+    long = "word " * 400_000
+    assert html_extract.extract(f"<article><p>{long}</p></article>") == long.strip()
