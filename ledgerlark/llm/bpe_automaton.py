@@ -1,16 +1,17 @@
 """Byte-level BPE as a deterministic automaton over tokens.
 
 Compiling starts from the automaton whose only state loops over all bytes and
-adds one gadget per merge (u, v) -> w, in order of rank: after u the arc v is
-taken away, and an arc w is added wherever u could be read, leading to where v
-led. Every state is thus named by the token read last; it starts as the right
-part's state and loses the arcs of its own merges. The gadgets are kept as
-tables (left part, right part, rank), and an arc's presence follows from the
-gadgets that made its two ends, looked up once and then held in the table of
-arcs. The accepted token strings are exactly BPE's outputs, and every byte
-string has one, so a word is encoded by one pass over its bytes that keeps, for
-each end position, the one token that an accepted path ends with. Decoding
-emits the arcs' byte labels.
+adds one gadget per merge (u, v) -> w, in order of rank: the state that u enters
+loses the arc v, and an arc w is added wherever u could be read, entering the
+state that v entered. Tokens share a state until a gadget tells them apart, and
+share a kind (the states at which they may be read) until one takes an arc of
+only one of them; so some thousands of states and kinds and one bit for each
+pair of them hold all arcs (some 14 600 and 10 600 for a vocabulary of 50 000). The
+accepted token strings are exactly BPE's outputs, and every byte string has
+one. Byte transitions over the tokens' strings say which tokens end at a
+position; a word is encoded by one pass over its bytes that keeps, for each end
+position, the one token that an accepted path ends with. Decoding emits the
+arcs' byte labels.
 
 Defined results: NULL and empty texts have no tokens and decode to the empty
 text; the strings of special tokens in a text become those tokens.
@@ -41,28 +42,13 @@ def byte_chars() -> dict[str, int]:
 
 
 class Automaton:
-    """Arcs between tokens, compiled from a vocabulary and its ordered merges."""
+    """The compiled automaton: states, arcs between them, byte transitions."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int] | None = None):
         self.special = special or {}
         self.label = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        size = max(self.label) + 1
-        # gadget tables: a byte has rank -1 and no parts
-        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
-        self.cut: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        reached = {i: len(b) == 1 for b, i in vocab.items()}
-        for k, (u, v) in enumerate(merges):
-            a, b, w = vocab[u], vocab[v], vocab[u + v]
-            # no arc to replace, no gadget: the token can never be read
-            if reached[a] and reached[b] and not reached[w] and self._arc(a, b, k):
-                self.rank[w], self.left[w], self.right[w] = k, a, b
-                reached[w] = True
-            self.cut.setdefault((a, b), k)
-        self.vocab = {b: i for b, i in vocab.items() if reached[i]}
-        self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
-        for b in self.vocab:
-            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
+        self._gadgets(vocab, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+        self._transitions({b: i for b, i in vocab.items() if self.state[i] >= 0})
 
     @classmethod
     def from_file(cls, path: str) -> Automaton:
@@ -76,60 +62,131 @@ class Automaton:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         return cls(vocab, [(raw(a), raw(b)) for a, b in pairs], special)
 
+    def _gadgets(self, vocab: dict[bytes, int], merges: list[tuple[int, int, int]]) -> None:
+        """``state`` and ``kind`` of every token and the bit table of arcs.
+
+        ``state[t]`` is entered by reading t; tokens of one kind have arcs at the
+        same states. A gadget gives the left part a state, and the right part a
+        kind, of their own where others share them, and takes their arc away;
+        the merged token enters the state that the right part entered before,
+        and is of the kind that the left part is of now.
+        """
+        size = max(self.label) + 1
+        state, kind = [-1] * size, [-1] * size
+        for b, i in vocab.items():
+            if len(b) == 1:
+                state[i] = kind[i] = 0
+        singles = sum(len(b) == 1 for b in vocab)
+        in_state, of_kind = [singles], [singles]
+        gone = np.zeros((256, 256), np.uint8)  # bit k & 7 of [state, k >> 3]: the arc was taken away
+        for u, v, w in merges:
+            # no arc to replace, no gadget: the token can never be read
+            if state[u] < 0 or state[v] < 0 or state[w] >= 0 or gone[state[u], kind[v] >> 3] >> (kind[v] & 7) & 1:
+                continue
+            entered = state[v]
+            if in_state[state[u]] > 1 or u == v:  # what (u, u) merges to enters the state as it was
+                new = len(in_state)
+                if new == len(gone):
+                    gone = np.concatenate([gone, np.zeros_like(gone)])
+                gone[new] = gone[state[u]]
+                in_state[state[u]] -= 1
+                in_state.append(1)
+                state[u] = new
+            if of_kind[kind[v]] > 1:
+                old, new, n = kind[v], len(of_kind), len(in_state)
+                if new >> 3 == gone.shape[1]:
+                    gone = np.concatenate([gone, np.zeros_like(gone)], axis=1)
+                gone[:n, new >> 3] |= (gone[:n, old >> 3] >> (old & 7) & 1) << (new & 7)
+                of_kind[old] -= 1
+                of_kind.append(1)
+                kind[v] = new
+            gone[state[u], kind[v] >> 3] |= 1 << (kind[v] & 7)
+            state[w], kind[w] = entered, kind[u]
+            in_state[entered] += 1
+            of_kind[kind[u]] += 1
+        self.state, self.kind = state, kind
+        self.states, self.kinds = len(in_state), len(of_kind)
+        self.width = (self.kinds + 7) >> 3
+        self.gone = gone[:self.states, :self.width].tobytes()
+
+    def _transitions(self, tokens: dict[bytes, int]) -> None:
+        """Byte transitions: a node is the longest string read last that begins a
+        token. ``longest[node]`` is the longest token that ends there, and
+        ``shorter[token]`` the next shorter one that ends with it."""
+        self.goto: dict[int, int] = {}
+        own, parents = [-1], [(0, 0)]
+        for b, i in tokens.items():
+            node = 0
+            for c in b:
+                key = node << 8 | c
+                after = self.goto.get(key)
+                if after is None:
+                    after = self.goto[key] = len(own)
+                    own.append(-1)
+                    parents.append((node, c))
+                node = after
+            own[node] = i
+        depth = [0] * len(own)
+        for node in range(1, len(own)):  # a parent's number is smaller
+            depth[node] = depth[parents[node][0]] + 1
+        self.back, self.longest = [0] * len(own), own[:]
+        self.shorter, self.size = [-1] * len(self.state), [0] * len(self.state)
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, c = parents[node]
+            if parent:
+                self.back[node] = self._next(self.back[parent], c)
+            below = self.longest[self.back[node]]
+            if own[node] >= 0:
+                self.shorter[own[node]], self.size[own[node]] = below, depth[node]
+            else:
+                self.longest[node] = below
+
+    def _next(self, node: int, c: int) -> int:
+        """The node after reading a byte."""
+        after = self.goto.get(node << 8 | c)
+        while after is None and node:
+            node = self.back[node]
+            after = self.goto.get(node << 8 | c)
+        return after or 0
+
     def arc(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
-        known = self.arcs.get((a, b))
-        if known is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            known = self.arcs[a, b] = self._arc(a, b, 1 << 60)
-        return known
-
-    def _arc(self, a: int, b: int, before: int) -> bool:
-        """Undo gadgets from the latest to the earliest until one cut the arc."""
-        rank, cut = self.rank, self.cut
-        while True:
-            if cut.get((a, b), before) < before:
-                return False
-            ra, rb = rank[a], rank[b]
-            if ra < 0 and rb < 0:
-                return True
-            if ra > rb:  # its state was copied before its own gadget's cut
-                a, before = self.right[a], ra
-            else:  # its arcs were added after that cut, so a run pairs up from the left
-                b, before = self.left[b], rb + 1
+        """Whether token b may be read after token a."""
+        k = self.kind[b]
+        return not self.gone[self.state[a] * self.width + (k >> 3)] >> (k & 7) & 1
 
-    def encode(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word: the one path of arcs that reads it.
+    def read(self, word: bytes) -> list[int]:
+        """For each byte the token that an accepted path ends with after it.
 
-        Longer arcs are tried first. A position has one path to it at most, so
-        one that turned out to lead nowhere is never entered again.
+        There is one path at most to a position, so of the tokens that end at it
+        one has an arc from the state at its own beginning. No position is
+        visited again.
         """
-        n, vocab, reach, arc = len(word), self.vocab, self.reach, self.arc
-        out: list[int] = []
-        pos, prev, dead = 0, -1, set()
-        length = min(n, reach.get(word[:2], 1))
-        while True:
-            while length:
-                t = vocab.get(word[pos:pos + length])
-                if t is not None and (prev < 0 or arc(prev, t)) and pos + length not in dead:
+        last, node = [-1], 0
+        size, shorter, longest, kind, state, gone, width = self.size, self.shorter, self.longest, self.kind, self.state, self.gone, self.width
+        for i, c in enumerate(word, 1):
+            node = self._next(node, c)
+            t = longest[node]
+            while t >= 0:
+                begin = last[i - size[t]] if size[t] < i else -1
+                k = kind[t]
+                if begin < 0 or not gone[state[begin] * width + (k >> 3)] >> (k & 7) & 1:
                     break
-                length -= 1
-            if length:
-                out.append(t)
-                pos += length
-                if pos == n:
-                    return out
-                prev = t
-                length = min(n - pos, reach.get(word[pos:pos + 2], 1))
-            else:
-                dead.add(pos)
-                length = len(self.label[out.pop()])
-                pos -= length
-                length -= 1
-                prev = out[-1] if out else -1
+                t = shorter[t]
+            if t < 0:
+                raise ValueError(f"byte {c} is no token of the vocabulary")
+            last.append(t)
+        return last[1:]
+
+    def encode(self, word: bytes) -> list[int]:
+        """Tokens of one pre-split word: the path that reads it, from its end."""
+        last, at, out = self.read(word), len(word), []
+        while at:
+            out.append(last[at - 1])
+            at -= self.size[out[-1]]
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
+        """The arcs' byte labels."""
         return b"".join(map(self.label.__getitem__, ids))
 
 

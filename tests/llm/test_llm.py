@@ -59,6 +59,69 @@ def test_automaton_of_few_merges():
     assert a.decode([3, 0, 2]) == b"aaaab"
 
 
+def plain_bpe(word, merges):
+    """Merges applied one by one, the earliest rank and the leftmost place first."""
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while True:
+        at = [(merges.index(p), i) for i, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        if not at:
+            return parts
+        i = min(at)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def random_merges(rng, letters=b"abc", n=12):
+    tokens, merges = [bytes([c]) for c in letters], []
+    for _ in range(n):
+        u, v = rng.choice(tokens), rng.choice(tokens)
+        if u + v not in tokens:
+            tokens.append(u + v)
+            merges.append((u, v))
+    return tokens, merges
+
+
+def test_automaton_states_and_arcs():
+    """Gadget by gadget: the arcs of random merges are those of plain BPE, and one pass reads every word."""
+    rng = random.Random(5)
+    for _ in range(60):
+        tokens, merges = random_merges(rng)
+        vocab = {b: i for i, b in enumerate(tokens)}
+        a = bpe_automaton.Automaton(vocab, merges)
+        readable = [b for b in tokens if plain_bpe(b, merges) == [b]]
+        assert {b for b in tokens if a.state[vocab[b]] >= 0} == set(readable)
+        for x in readable:
+            for y in readable:
+                assert a.arc(vocab[x], vocab[y]) == (plain_bpe(x + y, merges) == [x, y]), (merges, x, y)
+        for _ in range(20):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
+            want = plain_bpe(word, merges)
+            assert a.encode(word) == [vocab[b] for b in want]
+            # after each byte: the last token of the prefix, settled once
+            assert a.read(word) == [vocab[plain_bpe(word[:i], merges)[-1]] for i in range(1, len(word) + 1)]
+    vocab = {b"a": 0, b"b": 1, b"ab": 2}
+    a = bpe_automaton.Automaton(vocab, [(b"a", b"b")])
+    # reading a leaves the common state; b is of a kind of its own; ab enters b's state and is of a's kind
+    assert (a.states, a.kinds) == (2, 2) and a.state == [1, 0, 0] and a.kind == [0, 1, 0]
+    with pytest.raises(ValueError):
+        a.encode(b"ax")
+
+
+def test_automaton_tables_of_a_large_vocabulary():
+    a = bpe_automaton.Automaton.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 1 < a.states < 20_000 and 1 < a.kinds < 20_000 and len(a.gone) == a.states * a.width
+    began = time.monotonic()
+    assert a.decode(a.encode(b"w" * 300_000)) == b"w" * 300_000
+    assert time.monotonic() - began < 20
+
+
+def test_automaton_empty_table(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark)
+    assert bpe_automaton.digests(docs.limit(0), path).count() == bpe_automaton.encode_decode(docs.limit(0), path).count() == 0
+    got = {r["doc_id"]: r for r in bpe_automaton.encode_decode(docs, path).collect()}
+    assert got[1]["token_ids"] == [] and got[1]["decoded"] == "" and got[9]["decoded"] == "w" * 6000
+
+
 def test_word_encoder_equals_library(texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), wavelet.LibraryEncoder(path)
