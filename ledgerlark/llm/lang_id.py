@@ -9,8 +9,9 @@ and Spark sums these expected counts over all training rows.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0,
 as is every text when nothing could be learned; letters outside the vocabulary
-cost the same in every language; ties go to the language first in order of its
-name; rows without a label never train; repeated rows count each time.
+cost the same in every language; a run of letters is one word at any length;
+ties go to the language first in order of its name; rows without a label never
+train; repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import words as W
 
 UNKNOWN = "und"
-#: A longer run of letters is read as several words.
-WORD_CHARS = 32
-PIECE_CHARS = 16
+#: Positions between two rescalings of the forward variables, which would otherwise underflow in long words.
+RESCALE = 24
 #: Probability of a letter that no piece holds.
 FLOOR = 1e-7
 #: Added to each expected count, so that no piece is impossible.
@@ -44,23 +44,23 @@ class Model:
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the vocabulary's lower-case letter pieces in order, and lengths."""
+def vocabulary(path: str) -> tuple[np.ndarray, int]:
+    """Hashes of the vocabulary's lower-case letter pieces in order, and the longest piece's length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
     kind = W.classes()
-    pieces = sorted(p for p in names if 0 < len(p) <= PIECE_CHARS and p == p.lower() and p != chr(_START)
-                    and all(kind[ord(c)] == W.LETTER for c in p.removeprefix(chr(_START))))
+    pieces = sorted(p for p in names if p and p == p.lower() and p != chr(_START) and all(kind[ord(c)] == W.LETTER for c in p.removeprefix(chr(_START))))
     cp = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-    end = np.cumsum(list(map(len, pieces)))
-    hashes = W.span_hash(cp, end - np.array(list(map(len, pieces))), end)
-    return np.sort(hashes), np.zeros(0)
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    end = np.cumsum(lens)
+    return np.sort(W.span_hash(cp, end - lens, end)), int(lens.max(initial=1))
 
 
-def lattice(words: list[str], hashes: np.ndarray):
-    """Words of equal length together: (row numbers, length, piece of [start, end) per word).
+def lattice(words: list[str], hashes: np.ndarray, longest: int):
+    """Words of equal length together: (row numbers, length, pieces), where
+    pieces[b, l - 1] is the piece that ends at position b after l characters.
 
     A piece number of len(hashes) is an unknown single letter, above it none.
     """
@@ -72,49 +72,68 @@ def lattice(words: list[str], hashes: np.ndarray):
         rows = np.flatnonzero(lens == n)
         own = cp[begin[rows][:, None] + np.arange(n)].reshape(-1)
         base = np.arange(len(rows)) * n
-        spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - PIECE_CHARS), b)]
-        start = np.concatenate([base + a for a, _ in spans])
-        end = np.concatenate([base + b for _, b in spans])
-        key = W.span_hash(own, start, end)
-        at = np.searchsorted(hashes, key)
-        at[at == len(hashes)] = 0
-        single = end - start == 1
-        piece = np.where(hashes[at] == key, at, np.where(single, len(hashes), len(hashes) + 1)).reshape(len(spans), len(rows))
-        yield rows, n, dict(zip(spans, piece))
-
-
-def word_likelihoods(words: list[str], hashes: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Log likelihood of each word per language, all segmentations summed."""
+        pieces = np.full((n + 1, min(longest, n), len(rows)), len(hashes) + 1, np.int32)
+        for size in range(1, pieces.shape[1] + 1):
+            start = (np.arange(n - size + 1)[:, None] + base).reshape(-1)
+            key = W.span_hash(own, start, start + size)
+            at = np.searchsorted(hashes, key)
+            at[at == len(hashes)] = 0
+            pieces[size:, size - 1] = np.where(hashes[at] == key, at, len(hashes) + (size > 1)).reshape(-1, len(rows))
+        yield rows, n, pieces
+
+
+def word_likelihoods(words: list[str], hashes: np.ndarray, prob: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Log likelihood of each word per language, all segmentations of the whole word summed."""
     k = prob.shape[1]
     table = np.concatenate([prob, np.full((1, k), FLOOR), np.zeros((1, k))])
     out = np.zeros((len(words), k))
-    for rows, n, pieces in lattice(words, hashes):
-        alpha = np.zeros((n + 1, len(rows), k))
-        alpha[0] = 1.0
-        for (a, b), piece in pieces.items():
-            alpha[b] += alpha[a] * table[piece]
-        out[rows] = np.log(alpha[n])
+    for rows, n, pieces in lattice(words, hashes, longest or max(map(len, words), default=0) + 1):
+        width = pieces.shape[1]
+        ring = np.zeros((width, len(rows), k))  # forward variables of the last positions, nearest first
+        ring[0] = 1.0
+        log = np.zeros((len(rows), k))
+        for b in range(1, n + 1):
+            now = np.einsum("lrk,lrk->rk", ring[:min(b, width)], table[pieces[b, :b]])
+            ring[1:] = ring[:-1]
+            ring[0] = now
+            if b % RESCALE == 0:
+                ring /= now
+                log += np.log(now)
+        out[rows] = log + np.log(ring[0])
     return out
 
 
-def word_posteriors(words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, expected count) of each word under equal piece probabilities."""
+def word_posteriors(words: list[str], hashes: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, expected count) of each word under equal piece probabilities.
+
+    Forward variables are kept as ratios to the last position's, so that each
+    position gives the posterior of the piece that ends there; the backward
+    pass hands a position's share on to where its pieces begin.
+    """
     v = len(hashes)
     table = np.concatenate([np.full(v, 1.0 / v), [FLOOR, 0.0]])
     row_all, piece_all, weight_all = [], [], []
-    for rows, n, pieces in lattice(words, hashes):
-        alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
-        alpha[0] = beta[n] = 1.0
-        for (a, b), piece in pieces.items():
-            alpha[b] += alpha[a] * table[piece]
-        for (a, b), piece in sorted(pieces.items(), key=lambda x: -x[0][1]):
-            beta[a] += beta[b] * table[piece]
-        for (a, b), piece in pieces.items():
-            w = alpha[a] * table[piece] * beta[b] / alpha[n]
-            keep = np.flatnonzero((w > 1e-4) & (piece < v))
-            row_all.append(rows[keep])
-            piece_all.append(piece[keep])
-            weight_all.append(w[keep])
+    for rows, n, pieces in lattice(words, hashes, longest or max(map(len, words), default=0) + 1):
+        width = pieces.shape[1]
+        share = np.zeros((n + 1, width, len(rows)))  # of the pieces that end at a position
+        ring = np.zeros((width, len(rows)))
+        ring[0] = 1.0
+        for b in range(1, n + 1):
+            share[b] = ring * table[pieces[b]]
+            total = share[b].sum(0)
+            share[b] /= total
+            ring[1:] = ring[:-1] / total
+            ring[0] = 1.0
+        through = np.zeros((n + 1, len(rows)))
+        through[n] = 1.0
+        for b in range(n, 0, -1):
+            share[b] *= through[b]
+            few = min(b, width)
+            through[b - few:b] += share[b, :few][::-1]
+        known = np.nonzero((share > 0) & (pieces < v))
+        row_all.append(rows[known[2]])
+        piece_all.append(pieces[known])
+        weight_all.append(share[known])
     row = np.concatenate(row_all) if row_all else np.zeros(0, np.int64)
     order = np.argsort(row, kind="stable")
     flat = np.zeros(len(row), [("piece", np.int32), ("weight", np.float32)])
@@ -129,10 +148,6 @@ def letter_words(texts: list[str | None]):
     lowered = [t.lower() if t else t for t in texts]
     for first, last, cp, offsets in W.chunks(lowered):
         start, end = W.runs(W.classes()[cp] == W.LETTER, offsets)
-        long = np.flatnonzero(end - start > WORD_CHARS)
-        if len(long):
-            cuts = np.concatenate([np.arange(s + WORD_CHARS, e, WORD_CHARS) for s, e in zip(start[long], end[long])])
-            start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
         yield first, last, cp, offsets, start, end
 
 
@@ -148,8 +163,8 @@ def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", la
     rows = docs.where(F.col(lang).isNotNull() if labelled is None else F.col(lang).isNotNull() & labelled)
 
     def run(batches):
-        hashes, _ = vocabulary(path)
-        cache = _caches.setdefault(("train", path), W.WordCache(lambda w: word_posteriors(w, hashes)))
+        hashes, longest = vocabulary(path)
+        cache = _caches.setdefault(("train", path), W.WordCache(lambda w: word_posteriors(w, hashes, longest)))
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column(1).to_pylist()
@@ -183,11 +198,11 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
     key = ("score", path, model.languages, float(model.prob[:1].sum()) if model.languages else 0.0, float(np.square(model.prob).sum()))
 
     def run(batches):
-        hashes, _ = vocabulary(path)
+        hashes, longest = vocabulary(path)
         k = len(model.languages)
 
         def compute(words):
-            return word_likelihoods(words, hashes, model.prob), np.ones(len(words), np.int64)
+            return word_likelihoods(words, hashes, model.prob, longest), np.ones(len(words), np.int64)
 
         if key not in _caches:
             for old in [x for x in _caches if x[0] == "score"]:

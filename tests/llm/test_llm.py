@@ -306,7 +306,7 @@ def test_language_likelihood_sums_all_segmentations():
             if n == 0:
                 return 1.0
             total = 0.0
-            for a in range(max(0, n - lang_id.PIECE_CHARS), n):
+            for a in range(n):
                 cp = np.frombuffer(word[a:n].encode("utf-32-le"), np.uint32)
                 h = lang_id.W.span_hash(cp, np.array([0]), np.array([len(cp)]))[0]
                 at = np.searchsorted(hashes, h)
@@ -322,6 +322,60 @@ def test_language_likelihood_sums_all_segmentations():
     assert np.allclose(got, [[brute("▁" + w, k) for k in (0, 1)] for w in words])
 
 
+def test_language_long_words():
+    """A run of letters is one word at any length: no cut, no underflow, no dropped share."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    hashes, longest = lang_id.vocabulary(path)
+    prob = np.random.default_rng(1).random((len(hashes), 2)) / len(hashes)
+    word = "thequickbrownfoxjumpsoverthelazydogstraßenbahn" * 9
+
+    def piece(a, b):
+        cp = np.frombuffer(("▁" + word)[a:b].encode("utf-32-le"), np.uint32)
+        h = lang_id.W.span_hash(cp, np.array([0]), np.array([len(cp)]))[0]
+        at = np.searchsorted(hashes, h)
+        return int(at) if at < len(hashes) and hashes[at] == h else None
+
+    n = len(word) + 1
+    arcs = [(a, b, piece(a, b)) for b in range(1, n + 1) for a in range(max(0, b - longest), b)]
+    arcs = [(a, b, p) for a, b, p in arcs if p is not None or b - a == 1]
+    logs = []
+    for k in (0, 1):
+        forward = [0.0] + [-math.inf] * n
+        for a, b, p in arcs:
+            forward[b] = np.logaddexp(forward[b], forward[a] + math.log(lang_id.FLOOR if p is None else prob[p, k]))
+        logs.append(forward[n])
+    assert np.allclose(lang_id.word_likelihoods([word, "the"], hashes, prob, longest)[0], logs) and logs[0] < -700
+    # posteriors against forward and backward sums in logarithms
+    flat, lens = lang_id.word_posteriors([word, "the"], hashes, longest)
+    weigh = lambda p: math.log(lang_id.FLOOR if p is None else 1 / len(hashes))
+    forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for a, b, p in arcs:
+        forward[b] = np.logaddexp(forward[b], forward[a] + weigh(p))
+    for a, b, p in sorted(arcs, key=lambda x: -x[1]):
+        backward[a] = np.logaddexp(backward[a], backward[b] + weigh(p))
+    want = collections.Counter()
+    for a, b, p in arcs:
+        if p is not None:
+            want[p] += math.exp(forward[a] + weigh(p) + backward[b] - forward[n])
+    got = collections.Counter()
+    for p, w in zip(flat["piece"][:lens[0]].tolist(), flat["weight"][:lens[0]].tolist()):
+        got[p] += w
+    assert got.keys() <= want.keys() and all(math.isclose(got[p], w, rel_tol=1e-4, abs_tol=1e-30) for p, w in want.items())
+    assert min(got.values()) < 1e-4
+    began = time.monotonic()
+    assert np.isfinite(lang_id.word_likelihoods(["ab" * 50_000], hashes, prob, longest)).all()
+    assert time.monotonic() - began < 60
+
+
+def test_language_ties(spark):
+    """Equal evidence: the language first by name, at half the score."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "same words here", "xx"), (2, "same words here", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.predict(docs, lang_id.train(docs, path), path).collect()
+    assert {(r["lang_pred"], round(r["score"], 9)) for r in got} == {("aa", 0.5)}
+
+
 def test_language_held_out(spark, sf):
     got = queries.QUERIES["op3_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 30 and (got["lang"] == got["lang_pred"]).mean() > 0.95 and got["score"].between(0, 1).all()
