@@ -478,6 +478,29 @@ def test_ann_recall(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_rows_lengths_and_close_vectors(spark):
+    """Repeated and missing ids, two lengths, and more vectors within half precision of each other than are asked for."""
+    rng = np.random.default_rng(6)
+    close = np.ones(16) + rng.standard_normal((60, 16)) * 1e-5
+    far = rng.standard_normal((40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([close, far]))]
+    rows += [(50, far[0].tolist()), (50, far[1].tolist()), (None, (2 * far[0]).tolist())] + [(200 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((30, 3)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("row"), F.lit(2).alias("d"), F.lit("x").alias("key"))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = collections.defaultdict(list)
+    for i, (q, x) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            x = np.array(x)
+            s = [(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), v) for j, (v, y) in enumerate(rows) if j != i and len(y) == len(x)]
+            want[q] += sorted(s, key=lambda p: (-round(p[0], 13), p[1] is None, p[1] or 0))[:5]
+    assert {q: len(x) for q, x in got.items()} == {0: 5, 50: 15, 200: 5}
+    for q, x in got.items():
+        assert np.allclose(sorted(s for _, s in x), sorted(s for s, _ in want[q]), rtol=0, atol=1e-14)
+    assert {v for v, _ in got[200]} == {v for _, v in want[200]} and None in {v for v, _ in got[50]}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sizes = [docs.count()]
