@@ -41,6 +41,8 @@ class LineConfig:
     bins: int = 24
     #: Which bins make up each band.
     bands: tuple[tuple[int, ...], ...] = _ring(24, 5, (1, 5, 7), 5)
+    #: Bands whose buckets are counted and joined in one go.
+    bands_at_once: int = 5
     #: Bins (of two bits each) in which a pair may differ and still be compared.
     differing: int = 11
     #: Hashes per bin that a line's first pass looks at, on average.
@@ -97,8 +99,8 @@ def _bin_minima(lines: DataFrame, config: LineConfig, bounded: bool) -> DataFram
     if bounded:  # the first shingle is always there, so that every line has a row
         small = F.shiftrightunsigned("h", 33) * F.col("n") < F.lit(config.filling * config.bins << 31)
         hashed = hashed.where(small | (F.col("i") == 0))
-    # bins by low bits, order by the (unsigned) high ones
-    hashed = hashed.select("line_id", "n", F.pmod("h", F.lit(config.bins)).cast("int").alias("bin"), F.shiftrightunsigned("h", 1).alias("h"))
+    # bins by the whole hash, order by its 31 highest bits, which is all that a signature keeps
+    hashed = hashed.select("line_id", "n", F.pmod("h", F.lit(config.bins)).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("h"))
     return hashed.groupBy("line_id", "n").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(config.bins)))
 
 
@@ -112,7 +114,8 @@ def signatures(docs: DataFrame, config: LineConfig, text: str = "text") -> DataF
     shingles) is done again without the bound.
     """
     lines = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= config.min_chars)
-    mins = stored(_bin_minima(lines, config, True), "line_minima")
+    mins = first = stored(_bin_minima(lines, config, True), "line_minima")
+    release_shuffles(docs.sparkSession)
     filled = sum((F.col(f"m{k}").isNotNull().cast("int") for k in range(config.bins)), F.lit(0))
     weak = (F.col("n") > config.filling * config.bins) & (2 * filled < config.bins)
     ids = stored(mins.where(weak).select(F.col("line_id").alias("_id")), "line_weak")
@@ -123,26 +126,30 @@ def signatures(docs: DataFrame, config: LineConfig, text: str = "text") -> DataF
     # an empty bin takes the value of one of the next three, else the least of all
     near = [[F.col(f"m{(k + d) % config.bins}") for d in range(4)] for k in range(config.bins)]
     mins = mins.withColumn("low", F.least(*(F.col(f"m{k}") for k in range(config.bins))))
-    return mins.select("line_id", F.array(*(F.coalesce(*cols, "low") for cols in near)).alias("sig"))
+    sigs = stored(mins.select("line_id", F.array(*(F.coalesce(*cols, "low") for cols in near)).alias("sig")), "line_sigs")
+    discard(first)
+    release_shuffles(docs.sparkSession)
+    return sigs
 
 
 def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
     """bucket, line_id, code: one row per line and band, buckets of one line left out.
 
-    ``code`` keeps two bits of every bin.
+    ``code`` keeps two bits of every bin. Bands are taken a few at a time, so
+    that only their share of the rows is in shuffles at once.
     """
-    sigs = stored(sigs, "line_sigs")
-    release_shuffles(sigs.sparkSession)
-    bits = (F.shiftleft(F.shiftright(F.col("sig")[k], 20).bitwiseAND(F.lit(3).cast("long")), 2 * k) for k in range(config.bins))
+    bits = (F.shiftleft(F.col("sig")[k].bitwiseAND(F.lit(3)).cast("long"), 2 * k) for k in range(config.bins))
     code = reduce(lambda x, y: x.bitwiseOR(y), bits)
-    bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[k] for k in band)) for i, band in enumerate(config.bands)))
-    rows = stored(sigs.select("line_id", code.alias("code"), bands.alias("bands")), "line_bands")
-    rows = rows.select("line_id", "code", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo <> hi").select("bucket")
-    out = stored(rows.join(shared, "bucket"), "line_shared")
-    discard(sigs)
-    release_shuffles(sigs.sparkSession)
-    return out
+    hashes = [F.xxhash64(F.lit(i), *(F.col("sig")[k] for k in band)) for i, band in enumerate(config.bands)]
+    parts = []
+    for first in range(0, len(hashes), config.bands_at_once):
+        some = F.array(*hashes[first:first + config.bands_at_once])
+        # a line has one row per bucket, so what is counted is lines
+        shared = sigs.select(F.explode(some).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        rows = sigs.select("line_id", code.alias("code"), F.explode(some).alias("bucket"))
+        parts.append(stored(rows.join(shared, "bucket"), "line_shared"))
+        release_shuffles(sigs.sparkSession)
+    return reduce(DataFrame.union, parts)
 
 
 def alike(a: Column, b: Column, config: LineConfig) -> Column:
@@ -171,23 +178,30 @@ def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame
 def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: str = "text") -> DataFrame:
     """(id, comp) of every line that is linked with another one."""
     spark = docs.sparkSession
-    member = buckets(signatures(docs, config, text), config)
-    lead = member.groupBy("bucket").agg(F.min(F.struct("line_id", "code")).alias("l"))
-    star = member.join(lead, "bucket").where(F.col("line_id") != F.col("l.line_id")).where(alike(F.col("code"), F.col("l.code"), config))
-    star = stored(star.select(F.col("l.line_id").alias("a"), F.col("line_id").alias("b")).distinct(), "line_star")
+    sigs = signatures(docs, config, text)
+    member = buckets(sigs, config)
+    discard(sigs)
+    lead = member.groupBy("bucket").agg(F.min("line_id").alias("lead"), F.min_by("code", "line_id").alias("lead_code"))
+    star = member.join(lead, "bucket").where("line_id <> lead").where(alike(F.col("code"), F.col("lead_code"), config))
+    star = stored(star.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct(), "line_star")
     release_shuffles(spark)
-    first = stored(similar(star, lines_in(docs, star, config, text), config), "line_links")
+    wide = lines_in(docs, star, config, text)
+    first = stored(similar(star, wide, config), "line_links")
+    discard(wide)
     release_shuffles(spark)
     comps = stored(connected_components(first), "line_comps").withColumnRenamed("id", "line_id")
     member = member.join(comps, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
-    lead = member.groupBy("bucket").agg(F.min(F.struct("line_id", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    member = stored(member.join(lead.select("bucket", F.col("l.comp").alias("lead"), F.col("l.line_id").alias("lead_id")), "bucket"), "line_members")
+    lead = member.groupBy("bucket").agg(
+        F.min("line_id").alias("lead_id"), F.min_by("comp", "line_id").alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    member = stored(member.join(lead.select("bucket", "lead", "lead_id"), "bucket"), "line_members")
     release_shuffles(spark)
     other = member.where("comp <> lead").select("bucket", "lead_id", F.col("line_id").alias("x"), F.col("comp").alias("cx"), F.col("code").alias("kx"))
     pairs = other.join(member.select("bucket", F.col("line_id").alias("y"), F.col("comp").alias("cy"), F.col("code").alias("ky")), "bucket")
     pairs = pairs.where("cx <> cy and y <> lead_id").where(alike(F.col("kx"), F.col("ky"), config))
     pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
-    second = stored(similar(pairs, lines_in(docs, pairs, config, text), config), "line_links")
+    wide = lines_in(docs, pairs, config, text)
+    second = stored(similar(pairs, wide, config), "line_links")
+    discard(wide)
     release_shuffles(spark)
     return connected_components(first.union(second))
 
