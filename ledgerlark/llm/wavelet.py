@@ -2,9 +2,10 @@
 
 A shard is one self-contained compressed file image: documents in id order,
 their ids end to end as a wavelet matrix. Each bit-plane holds one bit of every
-id, ordered by the higher bits, with ones counted before every 512th position,
-so a token is read, a symbol counted in a range or its k-th occurrence found in
-one step per plane, without decoding the rest.
+id, ordered by the higher bits; ones counted before every 512th position are in
+the file, and planes are compressed in blocks of their own. So a token is read, a
+symbol counted in a range or its k-th occurrence found in one step per plane,
+and only the blocks that these steps touch are decompressed.
 
 Shards are rows of a Parquet table (one binary cell each), since only Spark's
 writers reach every store; a cell written to a file of its own is read by
@@ -23,6 +24,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +35,51 @@ from tokenizers import Tokenizer
 from . import words as W
 from .bpe_automaton import contractions
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+#: Positions between two counts of ones, and bytes of a plane compressed together.
 BLOCK = 512
+PLANE_BYTES = 1 << 15
 SHARD_TOKENS = 1 << 21
+#: Words of letters that go to the library as one text.
+JOINED = 64
 #: Fixed value: the pre-splitting pattern for which distinct words may be encoded apart.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class StoredPlane:
+    """A bit-plane in compressed blocks, each decompressed when first read."""
+
+    def __init__(self, blob: bytes, borders: list[int], size: int):
+        self.blob, self.borders, self.size = blob, borders, size
+        self.decoded: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _block(self, k: int) -> np.ndarray:
+        if k not in self.decoded:
+            raw = zstandard.ZstdDecompressor().decompress(self.blob[self.borders[k]:self.borders[k + 1]])
+            self.decoded[k] = np.frombuffer(raw, np.uint8)
+        return self.decoded[k]
+
+    def __getitem__(self, key):
+        """A byte, or a slice that lies within one block."""
+        if not isinstance(key, slice):
+            return self._block(key // PLANE_BYTES)[key % PLANE_BYTES]
+        k = key.start // PLANE_BYTES
+        if key.start >= min(key.stop, self.size):
+            return np.zeros(0, np.uint8)
+        return self._block(k)[key.start - k * PLANE_BYTES:key.stop - k * PLANE_BYTES]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.concatenate([self._block(k) for k in range(len(self.borders) - 1)] or [np.zeros(0, np.uint8)])
+
+
 class WaveletMatrix:
     """Succinct sequence with access, rank, count and select."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list[np.ndarray | StoredPlane], zeros: list[int], ranks: np.ndarray | None = None):
+        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -59,15 +93,16 @@ class WaveletMatrix:
             x = np.concatenate([low, x[b]])
         return cls(len(ids), planes, zeros)
 
-    def _index(self) -> list[np.ndarray]:
-        """Ones before every BLOCK-th position, per plane."""
+    def _index(self) -> np.ndarray:
+        """Ones before every BLOCK-th position, a row per plane."""
         if self.ranks is None:
-            self.ranks = []
-            for p in self.planes:
-                padded = np.zeros(-(-len(p) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-                padded[: len(p)] = p
-                ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-                self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
+            blocks = -(-self.n // BLOCK)
+            padded = np.zeros((len(self.planes), blocks * BLOCK // 8), np.uint8)
+            for row, p in zip(padded, self.planes):
+                row[: len(p)] = p
+            self.ranks = np.zeros((len(self.planes), blocks + 1), np.uint32)
+            ones = np.bitwise_count(padded).reshape(len(self.planes), blocks, BLOCK // 8).sum(2, dtype=np.uint32)
+            np.cumsum(ones, axis=1, out=self.ranks[:, 1:])
         return self.ranks
 
     def _rank1(self, level: int, i: int) -> int:
@@ -101,7 +136,7 @@ class WaveletMatrix:
     def _select(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) such bit."""
         ranks = self._index()[level]
-        before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
+        before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks.astype(np.int64)
         block = int(np.searchsorted(before, k, "right")) - 1
         part = np.unpackbits(self.planes[level][block * BLOCK // 8:(block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
@@ -123,7 +158,7 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for level in reversed(range(bits)):
-            b = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            b = np.unpackbits(np.asarray(self.planes[level]), count=self.n, bitorder="little").astype(bool)
             up = np.empty(self.n, kind)
             up[~b] = x[: self.zeros[level]]
             up[b] = x[self.zeros[level]:] | kind(1 << (bits - 1 - level))
@@ -131,26 +166,33 @@ class WaveletMatrix:
         return x.astype(np.uint32)
 
     def to_bytes(self, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-        """Magic, JSON header, then compressed document lengths and planes."""
+        """Magic, JSON header, then compressed document lengths, counts of ones and blocks of planes."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [pack(np.asarray(lengths, "<u4").tobytes()), *(pack(p.tobytes()) for p in self.planes)]
+        # counts are kept as differences, which are small
+        parts = [pack(np.asarray(lengths, "<u4").tobytes()), pack(np.diff(self._index(), axis=1).astype("<u2").tobytes())]
+        for p in self.planes:
+            raw = np.asarray(p).tobytes()
+            parts += [pack(raw[at:at + PLANE_BYTES]) for at in range(0, len(raw), PLANE_BYTES)]
         head = json.dumps({"n": self.n, "zeros": self.zeros, "sizes": [len(p) for p in parts], "docs": doc_ids}).encode()
         head = pack(head)
         return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-        """The matrix, the document ids and their lengths."""
+        """The matrix, the document ids and their lengths; planes stay compressed."""
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
         unpack = zstandard.ZstdDecompressor().decompress
         at = 8 + struct.unpack_from("<I", blob, 4)[0]
         head = json.loads(unpack(blob[8:at]))
-        parts = []
-        for size in head["sizes"]:
-            parts.append(np.frombuffer(unpack(blob[at:at + size]), np.uint8))
-            at += size
-        return cls(head["n"], parts[1:], head["zeros"]), head["docs"], parts[0].view("<u4")
+        borders = [at, *(at + np.cumsum(head["sizes"])).tolist()]
+        lengths, steps = (np.frombuffer(unpack(blob[borders[i]:borders[i + 1]]), kind) for i, kind in ((0, "<u4"), (1, "<u2")))
+        n, bits, size = head["n"], len(head["zeros"]), -(-head["n"] // 8)
+        ranks = np.zeros((bits, -(-n // BLOCK) + 1), np.uint32)
+        np.cumsum(steps.reshape(bits, -1), axis=1, out=ranks[:, 1:], dtype=np.uint32)
+        each = -(-size // PLANE_BYTES)
+        planes = [StoredPlane(blob, borders[2 + k * each:3 + (k + 1) * each], size) for k in range(bits)]
+        return cls(n, planes, head["zeros"], ranks), head["docs"], lengths
 
 
 class LibraryEncoder:
@@ -172,13 +214,42 @@ class LibraryEncoder:
         self.by_word = steps[0].get("pattern") == {"Regex": WORDS} and names == ["NFC", "Replace", "Lowercase"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last: np.ndarray | None = None  # whether a token ends a word
+        if self.by_word and suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.cache = W.WordCache(self._words)
+        self.cache = W.WordCache(self._words, limit=1_000_000)
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((t for x in ids for t in x), np.uint32, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has.
+
+        Words of letters only are one unit of the pre-splitting each, so many
+        go to the library as one text with spaces between; a unit's last token
+        carries the end-of-word suffix and shows where the word ends.
+        """
+        alpha = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        if self.last is None or not alpha.any():
+            return self._encoded(words)
+        letters = [w for w, x in zip(words, alpha) if x]
+        flat, _ = self._encoded([" ".join(letters[i:i + JOINED]) for i in range(0, len(letters), JOINED)])
+        ends = np.flatnonzero(self.last[flat])
+        if len(ends) != len(letters):  # the library knows other letters than Python
+            return self._encoded(words)
+        rest, rest_lens = self._encoded([w for w, x in zip(words, alpha) if not x])
+        lens = np.zeros(len(words), np.int64)
+        lens[alpha], lens[~alpha] = np.diff(ends, prepend=-1), rest_lens
+        out, of_letters = np.zeros(len(flat) + len(rest), np.uint32), np.repeat(alpha, lens)
+        out[of_letters], out[~of_letters] = flat, rest
+        return out, lens
 
     @staticmethod
     def _plain(text: str) -> str:

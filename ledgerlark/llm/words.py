@@ -132,7 +132,8 @@ class WordCache:
         new = np.flatnonzero(~known)
         if len(new):
             s, e = start[first[new]], end[first[new]]
-            words = [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(s.tolist(), e.tolist())]
+            text = cp.tobytes().decode("utf-32-le")
+            words = [text[a:b] for a, b in zip(s.tolist(), e.tolist())]
             flat, lens = self.compute(words)
             row = len(self.off) - 1 + np.arange(len(new))
             self._add(flat, lens)
