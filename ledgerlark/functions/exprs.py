@@ -67,20 +67,23 @@ def flag(c: Column) -> Column:
 
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _ZONE = r"(Z|[+-]\d{2}(:?\d{2})?)$"
-_EXTENDED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+_EXTENDED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2})(\d{2})(\d{2}))?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP; text without an offset is UTC; else NULL."""
+    dotted = F.replace(text, F.lit(","), F.lit("."))
     compact = F.regexp_replace(
         F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"), r"[T ](\d{2})(\d{2})(\d{2})", "T$1:$2:$3")
-    shaped = (
-        F.when(text.rlike(_DATE), F.concat(text, F.lit("T00:00:00Z")))
-        .when(text.rlike(_EXTENDED), F.replace(text, F.lit(","), F.lit(".")))
-        .when(text.rlike(_COMPACT), F.when(F.length(text) == 8, F.concat(compact, F.lit("T00:00:00"))).otherwise(compact))
+    # no text has two of these shapes; the usual one comes first and is matched once
+    zoned = (
+        F.when(text.rlike(_EXTENDED + _ZONE), dotted)
+        .when(text.rlike(_EXTENDED + "$"), F.concat(dotted, F.lit("Z")))
+        .when(text.rlike(_DATE), F.concat(text, F.lit("T00:00:00Z")))
+        .when(text.rlike(_COMPACT), F.when(F.length(text) == 8, F.concat(compact, F.lit("T00:00:00Z")))
+              .when(compact.rlike(_ZONE) & F.contains(compact, F.lit(":")), compact).otherwise(F.concat(compact, F.lit("Z"))))
     )
-    zoned = F.when(shaped.rlike(_ZONE) & F.contains(shaped, F.lit(":")), shaped).otherwise(F.concat(shaped, F.lit("Z")))
     return zoned.try_cast("timestamp")
 
 

@@ -86,15 +86,21 @@ def label_objects(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.coalesce(whole, F.transform(_items(text), _object)))
 
 
-def label_list(objects: Column) -> Column:
-    """``[{key, value}, ...]`` to a map; the last entry of a repeated key wins."""
+def named_labels(objects: Column) -> Column:
+    """The entries of ``[{key, value}, ...]`` that have a key as ``{k, v}``, last one first."""
     named = F.reverse(F.filter(objects, lambda o: _key(o, "key").isNotNull()))
-    keys = F.transform(named, lambda o: _key(o, "key"))
-    values = F.transform(named, lambda o: F.when(
-        F.map_contains_key(o, "value"), F.coalesce(_key(o, "value"), F.lit("None"))).otherwise(F.lit("")))
-    unique = F.array_distinct(keys)
-    newest = F.transform(unique, lambda k: F.get(values, (F.array_position(keys, k) - 1).cast("int")))
-    return F.when(F.size(keys) > 0, F.map_from_arrays(unique, newest))
+    return F.transform(named, lambda o: F.struct(_key(o, "key").alias("k"), F.when(
+        F.map_contains_key(o, "value"), F.coalesce(_key(o, "value"), F.lit("None"))).otherwise(F.lit("")).alias("v")))
+
+
+def label_map(named: Column, keys: Column) -> Column:
+    """Named labels and their keys to a map; the last entry of a repeated key wins.
+
+    Both must be columns of the row: a lambda evaluates an expression again for
+    every element.
+    """
+    newest = F.filter(named, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    return F.when(F.size(keys) > 0, F.map_from_entries(newest))
 
 
 # -- record shapes: where each field of a record is found --------------------------
@@ -165,14 +171,15 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     if dict(df.dtypes)[value] == "binary":
         text = F.when(F.is_valid_utf8(text.cast("string")), text.cast("string"))
     df = df.withColumn("_text", text)
-    df = df.withColumn("payload", _object(F.col("_text")))
     # both parsers ignore what follows an object; enclosed in an array and in
-    # another object, no following text is valid twice
-    strict = F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]"))).isNull() | F.try_parse_json(F.concat(F.lit('{"x":'), "_text", F.lit("}"))).isNull()
-    df = df.withColumn("payload", F.when(~strict, F.col("payload")))
+    # another object, no following text is valid twice. Only the variant parser
+    # is strict, so a text that the other one takes is read once by each
+    listed, inner = F.concat(F.lit("["), "_text", F.lit("]")), F.concat(F.lit('{"x":'), "_text", F.lit("}"))
+    loose = F.when(F.try_parse_json(listed).isNotNull() & F.ltrim("_text").startswith("{"), F.from_json(inner, f"x {_TEXTS}")["x"])
+    df = df.withColumn("payload", loose)
     return df.withColumn("error", F.when(F.col("payload").isNull(), _error(
         (F.col("_text").isNull(), "payload is not valid UTF-8."),
-        (strict, "payload is not valid JSON."),
+        (F.try_parse_json(listed).isNull() | F.try_parse_json(inner).isNull(), "payload is not valid JSON."),
         (F.lit(True), "Event payload must be a JSON object."),
     ))).drop("_text")
 
@@ -233,7 +240,9 @@ def normalize(messages: DataFrame, value: str = "value") -> DataFrame:
         "e_cost_amount": amount_error(x("cost_amount"), F.col("p_cost_amount"), "cost_amount", True),
         "e_usage_amount": amount_error(x("usage_amount"), F.col("p_usage_amount"), "usage_amount", False),
         "e_tags": F.when(F.col("l_tags").isNull(), tags_error(x("tags"), F.col("o_tags"))),
+        "l_named": named_labels(F.col("l_tags")),
     })
+    df = df.withColumn("l_keys", F.col("l_named")["k"])
     failed = pick(lambda s: F.coalesce(*[F.col(f"e_{c}") for c in s["checks"]])).otherwise(
         F.concat(F.lit("Unsupported provider '"), F.col("_provider"), F.lit("'.")))
     out = {
@@ -246,13 +255,15 @@ def normalize(messages: DataFrame, value: str = "value") -> DataFrame:
         "cost_amount": F.col("p_cost_amount"),
         "usage_amount": F.coalesce("p_usage_amount", F.lit(0.0)),
         "usage_unit": F.coalesce(text_or_null(x("usage_unit")), F.lit("unit")),
-        "tags": F.when(F.col("l_tags").isNotNull(), label_list(F.col("l_tags"))).otherwise(text_map(F.col("o_tags"))),
+        "tags": F.when(F.col("l_tags").isNotNull(), label_map(F.col("l_named"), F.col("l_keys"))).otherwise(text_map(F.col("o_tags"))),
         "source_type": F.coalesce(text_or_null(x("source_type")), F.lit("stream")),
     }
     keep = [c for c in messages.columns if c not in out]
-    df = staged(df, keep, {**out, "error": F.coalesce("error", failed)})
-    ok = F.col("error").isNull()
-    return df.select(*keep, *[F.when(ok, F.col(f)).alias(f) for f in out], "error")
+    # only the error is a boundary, so that fields nobody asks for are not computed
+    used = [c for c in df.columns if (c[:2] in ("x_", "p_", "l_") or c == "o_tags") and c not in messages.columns]
+    df = staged(df, [*messages.columns, *used], {"_error": F.coalesce("error", failed)})
+    ok = F.col("_error").isNull()
+    return df.select(*keep, *[F.when(ok, c).alias(f) for f, c in out.items()], F.col("_error").alias("error"))
 
 
 def accepted(normalized: DataFrame) -> DataFrame:

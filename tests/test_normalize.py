@@ -126,3 +126,19 @@ def test_ingest_contract(spark):
         "usage_unit string, tags map<string,string>, source_type string").selectExpr("*", "cast(ts as timestamp) as timestamp")
     got = [r.violations for r in normalize.ingest_errors(df, "2026-01-01 00:00:00").collect()]
     assert got == [[], ["timestamp", "provider", "cost_amount", "tags", "source_type"], ["cost_amount", "tags"]]
+
+
+def test_work_per_message(spark):
+    """Fields that nobody asks for are not computed, and labels are read through once, not once per key."""
+    df = normalize.normalize(spark.createDataFrame([("m", "{}")], "message_id string, value string"))
+
+    def plan(*columns):
+        return df.filter("error IS NULL").select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "sha2(" not in plan("service") and "sha2(" in plan("event_id")
+    assert "filter(l_tags" not in plan("service") and plan("tags").count("filter(l_tags") == 1
+    labels = [{"key": "a", "value": "1"}, {"value": "x"}, {"key": "b"}, {"key": "a", "value": None}]
+    body = json.dumps({"cost": 1, "account_id": "a", "service": "s", "timestamp": "2024-01-01", "labels": labels})
+    rows = normalize.normalize(spark.createDataFrame([(body,), (body + body,)], "value string")).orderBy("error").collect()
+    assert rows[0]["error"] is None and list(rows[0]["tags"].items()) == [("a", "None"), ("b", "")]
+    assert rows[1]["error"] == "payload is not valid JSON."
