@@ -53,7 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # small star: u and its smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        last, e = e, stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        discard(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
             break

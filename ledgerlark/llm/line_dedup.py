@@ -70,9 +70,9 @@ def _positions(n: Column, width: int) -> Column:
 def shingle_hashes(wide: Column, width: int) -> Column:
     """Distinct shingle hashes of a line, as an array.
 
-    ``wide`` is a stored column of the line in UTF-32: its four bytes per
-    character make the cut of a shingle independent of its place, and an
-    expression in its stead would be evaluated again for each shingle.
+    ``wide`` is a column of the line in UTF-32: its four bytes per character
+    make the cut of a shingle independent of its place, and an expression in its
+    stead would be evaluated again for each shingle.
     """
     at = _positions((F.octet_length(wide) / 4).cast("int"), width)
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(width * 4)))))
@@ -84,11 +84,12 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def lines_in(docs: DataFrame, pairs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """line_id and the line in UTF-32, once each, of the lines in the pairs (a, b)."""
+    """line_id and the shingle hashes, worked out once, of every line in the pairs (a, b)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
     found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi")
-    return stored(found.dropDuplicates(["line_id"]).select("line_id", F.encode("line", "UTF-32").alias("wide")), "lines")
+    wide = found.dropDuplicates(["line_id"]).select("line_id", F.encode("line", "UTF-32").alias("wide"))
+    return stored(wide.select("line_id", shingle_hashes(F.col("wide"), config.shingle).alias("shingles")), "lines")
 
 
 def _bin_minima(lines: DataFrame, config: LineConfig, bounded: bool) -> DataFrame:
@@ -132,8 +133,8 @@ def signatures(docs: DataFrame, config: LineConfig, text: str = "text") -> DataF
     return sigs
 
 
-def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
-    """bucket, line_id, code: one row per line and band, buckets of one line left out.
+def buckets(sigs: DataFrame, config: LineConfig) -> list[DataFrame]:
+    """bucket, line_id, code: one row per line and band, buckets of one line left out, in tables of some bands each.
 
     ``code`` keeps two bits of every bin. Bands are taken a few at a time, so
     that only their share of the rows is in shuffles at once.
@@ -149,7 +150,7 @@ def buckets(sigs: DataFrame, config: LineConfig) -> DataFrame:
         rows = sigs.select("line_id", code.alias("code"), F.explode(some).alias("bucket"))
         parts.append(stored(rows.join(shared, "bucket"), "line_shared"))
         release_shuffles(sigs.sparkSession)
-    return reduce(DataFrame.union, parts)
+    return parts
 
 
 def alike(a: Column, b: Column, config: LineConfig) -> Column:
@@ -164,46 +165,57 @@ def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame
     """The pairs (a, b) whose exact Jaccard similarity reaches the threshold.
 
     Pairs are few bytes and much work, so they are spread over all shuffle
-    partitions first. The measures are written before the filter, which would
-    otherwise be pushed down and have them evaluated several times.
+    partitions first; those of too different sizes are not intersected. The
+    measures are written before the filter, which would otherwise be pushed
+    down and have them evaluated several times.
     """
-    a, b = lines.select(F.col("line_id").alias("a"), F.col("wide").alias("la")), lines.select(F.col("line_id").alias("b"), F.col("wide").alias("lb"))
+    a, b = lines.select(F.col("line_id").alias("a"), F.col("shingles").alias("x")), lines.select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    both = pairs.join(a, "a").join(b, "b").select(
-        "a", "b", shingle_hashes(F.col("la"), config.shingle).alias("x"), shingle_hashes(F.col("lb"), config.shingle).alias("y"))
+    both = pairs.join(a, "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
     both = stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures")
-    return both.where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b")
+    links = stored(both.where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b"), "line_links")
+    discard(both)
+    return links
 
 
 def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: str = "text") -> DataFrame:
     """(id, comp) of every line that is linked with another one."""
     spark = docs.sparkSession
     sigs = signatures(docs, config, text)
-    member = buckets(sigs, config)
+    parts = buckets(sigs, config)
     discard(sigs)
+    member = reduce(DataFrame.union, parts)
     lead = member.groupBy("bucket").agg(F.min("line_id").alias("lead"), F.min_by("code", "line_id").alias("lead_code"))
     star = member.join(lead, "bucket").where("line_id <> lead").where(alike(F.col("code"), F.col("lead_code"), config))
     star = stored(star.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct(), "line_star")
     release_shuffles(spark)
-    wide = lines_in(docs, star, config, text)
-    first = stored(similar(star, wide, config), "line_links")
-    discard(wide)
+    lines = lines_in(docs, star, config, text)
+    first = similar(star, lines, config)
+    discard(lines)
+    discard(star)
     release_shuffles(spark)
-    comps = stored(connected_components(first), "line_comps").withColumnRenamed("id", "line_id")
-    member = member.join(comps, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
+    comps = stored(connected_components(first), "line_comps")
+    member = member.join(comps.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
     lead = member.groupBy("bucket").agg(
         F.min("line_id").alias("lead_id"), F.min_by("comp", "line_id").alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     member = stored(member.join(lead.select("bucket", "lead", "lead_id"), "bucket"), "line_members")
+    for done in (*parts, comps):
+        discard(done)
     release_shuffles(spark)
     other = member.where("comp <> lead").select("bucket", "lead_id", F.col("line_id").alias("x"), F.col("comp").alias("cx"), F.col("code").alias("kx"))
     pairs = other.join(member.select("bucket", F.col("line_id").alias("y"), F.col("comp").alias("cy"), F.col("code").alias("ky")), "bucket")
     pairs = pairs.where("cx <> cy and y <> lead_id").where(alike(F.col("kx"), F.col("ky"), config))
     pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
-    wide = lines_in(docs, pairs, config, text)
-    second = stored(similar(pairs, wide, config), "line_links")
-    discard(wide)
+    discard(member)
+    lines = lines_in(docs, pairs, config, text)
+    second = similar(pairs, lines, config)
+    discard(lines)
+    discard(pairs)
     release_shuffles(spark)
-    return connected_components(first.union(second))
+    found = connected_components(first.union(second))
+    discard(first)
+    discard(second)
+    return found
 
 
 def placed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:

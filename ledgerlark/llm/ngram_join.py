@@ -107,8 +107,10 @@ def frequent_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
             break
         level = r["level"]
     if level is None:
+        discard(counts)
         return np.zeros(0, np.uint64)
     got = counts.where(F.col("level") >= level).select("token").toArrow().column(0).to_numpy()
+    discard(counts)
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
@@ -237,6 +239,7 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     answers = compared(star, sets)
     answers = stored(answers.withColumn("linked", config.links(F.col("nb") - F.size("extra"), F.col("na"), F.col("nb"))), "ngram_answers")
     discard(sets)
+    discard(star)
     release_shuffles(docs.sparkSession)
     first = answers.where("linked").select("a", "b")
     classes = stored(connected_components(first), "ngram_classes")
@@ -245,6 +248,8 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     spread = members.groupBy("token").agg(F.min(F.struct("sig", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     members = stored(members.join(spread.select("token", F.col("l.comp").alias("lead"), F.col("l.sig").alias("lead_sig")), "token"), "ngram_members")
+    discard(lists)
+    release_shuffles(docs.sparkSession)
     blocks = members.groupBy("token", "n", "pos").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # one side of each pair is outside the leader's class
     others = members.where("comp <> lead")
@@ -259,7 +264,9 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
         F.least("sig", "ysig").alias("a"), F.greatest("sig", "ysig").alias("b"),
         F.when(F.col("sig") < F.col("ysig"), F.col("n")).otherwise(F.col("yn")).alias("na"),
         F.when(F.col("sig") < F.col("ysig"), F.col("yn")).otherwise(F.col("n")).alias("nb"))
-    pairs = stored(pairs.distinct(), "ngram_pairs")
+    pairs = found = stored(pairs.distinct(), "ngram_pairs")
+    discard(members)
+    release_shuffles(docs.sparkSession)
 
     # of two members of one leader the overlap follows from their differences
     best = answers.groupBy("b").agg(F.min(F.struct((F.size("miss") + F.size("extra")).alias("d"), F.col("a"))).alias("m")).select("b", F.col("m.a").alias("a"))
@@ -273,9 +280,12 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     overlap = F.col("nl") - F.size(F.array_union("ma", "mb")) + F.size(F.array_intersect("ea", "eb"))
     derived = pairs.where(same).join(p, "a").join(q, "b").where(config.links(overlap, F.col("na"), F.col("nb"))).select("a", "b")
     rest = possible(pairs.where(~same).select("a", "b", "na", "nb"), heads, config)
-    asked = compared(rest, needed_sets(docs, heads, rest, config))
+    sets = needed_sets(docs, heads, rest, config)
+    asked = compared(rest, sets)
     asked = asked.where(config.links(F.col("nb") - F.size("extra"), F.col("na"), F.col("nb"))).select("a", "b")
     second = stored(derived.union(asked).distinct(), "ngram_links")
+    for done in (found, rest, sets):
+        discard(done)
     release_shuffles(docs.sparkSession)
     return first.union(second)
 
@@ -283,6 +293,7 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
 def classes(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id: the least id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    release_shuffles(docs.sparkSession)  # those of the step that made the documents
     sizes = stored(set_sizes(rows, config), "ngram_sizes")
     heads = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"))
     heads = stored(heads, "ngram_heads")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
 
 import corpus_pipeline
-from ledgerlark.llm import quality_rules
+from ledgerlark.llm import components, line_dedup, quality_rules
 from ledgerlark.llm.components import stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row int, _id string, _of bigint, extra string"
@@ -70,3 +72,33 @@ def test_ledger_takes_clashing_names(spark):
     assert [row[c] for c in own] == list(range(7)) and row["n_words"] == 4
     plain = quality_rules.ledger(df.select("doc_id", "text")).first().asDict()
     assert {k: v for k, v in row.items() if k not in own} == plain
+
+
+def test_tables_that_nothing_reads_are_deleted(spark, tmp_path, monkeypatch):
+    """Line dedup and the near-duplicate join leave only tables that their results read."""
+    monkeypatch.setattr(components, "scratch_path", lambda _, label: f"{tmp_path}/{label}/{uuid.uuid4().hex}")
+
+    def left():
+        return {p.parent.name for p in tmp_path.glob("*/*")}
+
+    docs = frame(spark, [(i, BASE + "\n" + " ".join(f"{'abc'[i % 3]}{j}" for j in range(40)) + f" {i}") for i in range(12)])
+    lines = STAGES["line_dedup"](spark, docs, "")
+    assert lines.count() == 12
+    assert left() == {"components", "line_weak", "line_final", "line_seen"}
+    near = STAGES["ngram_jaccard_join"](spark, docs, "")
+    assert 0 < near.count() <= 12
+    assert not left() & {"ngram_counts", "ngram_lists", "ngram_live", "ngram_members", "ngram_pairs", "ngram_possible", "ngram_sets"}
+
+
+def test_lines_are_hashed_once(spark):
+    """A line of several pairs has its distinct shingles worked out once, whatever its characters."""
+    lines = ["abcabcabcabc \U0001f600 end of it", "short", "another line with its own words"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, lines[0])], "doc_id long, text string")
+    ids = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("xxhash64(line) AS id", "line").collect()
+    of = {r["line"]: r["id"] for r in ids}
+    pairs = spark.createDataFrame([(of[lines[0]], of[lines[2]]), (of[lines[2]], of[lines[0]])], "a long, b long")
+    got = {r["line_id"]: r["shingles"] for r in line_dedup.lines_in(docs, pairs, line_dedup.WHOLE).collect()}
+    assert set(got) == {of[lines[0]], of[lines[2]]}
+    for x in (lines[0], lines[2]):
+        assert len(got[of[x]]) == len(set(got[of[x]])) == len({x[i:i + 8] for i in range(len(x) - 7)})
+    assert line_dedup.similar(pairs, line_dedup.lines_in(docs, pairs, line_dedup.WHOLE), line_dedup.WHOLE).count() == 0
