@@ -43,6 +43,8 @@ class LineConfig:
     bands: tuple[tuple[int, ...], ...] = _ring(24, 5, (1, 5, 7), 5)
     #: Bands whose buckets are counted and joined in one go.
     bands_at_once: int = 5
+    #: In how many goes pairs meet the shingles of their lines.
+    pair_rounds: int = 3
     #: Bins (of two bits each) in which a pair may differ and still be compared.
     differing: int = 11
     #: Hashes per bin that a line's first pass looks at, on average.
@@ -165,16 +167,23 @@ def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame
     """The pairs (a, b) whose exact Jaccard similarity reaches the threshold.
 
     Pairs are few bytes and much work, so they are spread over all shuffle
-    partitions first; those of too different sizes are not intersected. The
-    measures are written before the filter, which would otherwise be pushed
-    down and have them evaluated several times.
+    partitions first; those of too different sizes are not intersected. They are
+    taken in a few rounds, so that only a share of the shingles is in shuffles
+    at once. The measures are written before the filter, which would otherwise
+    be pushed down and have them evaluated several times.
     """
+    spark = pairs.sparkSession
     a, b = lines.select(F.col("line_id").alias("a"), F.col("shingles").alias("x")), lines.select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
-    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    both = pairs.join(a, "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
-    both = stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures")
-    links = stored(both.where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b"), "line_links")
-    discard(both)
+    parts = []
+    for k in range(config.pair_rounds):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(config.pair_rounds)) == k)
+        some = some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        both = some.join(a, "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
+        parts.append(stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures"))
+        release_shuffles(spark)
+    links = stored(reduce(DataFrame.union, parts).where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b"), "line_links")
+    for done in parts:
+        discard(done)
     return links
 
 

@@ -102,3 +102,14 @@ def test_lines_are_hashed_once(spark):
     for x in (lines[0], lines[2]):
         assert len(got[of[x]]) == len(set(got[of[x]])) == len({x[i:i + 8] for i in range(len(x) - 7)})
     assert line_dedup.similar(pairs, line_dedup.lines_in(docs, pairs, line_dedup.WHOLE), line_dedup.WHOLE).count() == 0
+
+
+def test_quality_writes_no_copy_and_measures_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(components, "scratch_path", lambda _, label: f"{tmp_path}/{label}/{uuid.uuid4().hex}")
+    docs = frame(spark, [(1, BASE), (2, None), (None, "few words")])
+    out = STAGES["quality_rules"](spark, docs, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    want = quality_rules.ledger(docs).collect()
+    want = sorted((r["doc_id"] or 0) for r in want if not r["fail_bits"] & quality_rules.mask_of(quality_rules.POLICIES[corpus_pipeline.POLICY]))
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == want
+    assert not list(tmp_path.glob("*/*")) and plan.count("AS _twice#") == 1
