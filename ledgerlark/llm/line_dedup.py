@@ -9,7 +9,10 @@ distributed union-find turns the links into components. One line per component
 stays: its first occurrence by document and position.
 
 Buckets are never cut: each tests its members with one leader, and then only
-pairs of different components, so a bucket of many copies costs its size.
+pairs of different components, so a bucket of many copies costs its size. Where
+components share a bucket, parity bitmaps of the whole shingle sets bound from
+below in how many shingles two lines differ: a pair that cannot reach the
+threshold is never made, and no other one is lost.
 
 Defined results: lines with fewer than MIN_CHARS characters (blank ones too)
 are never compared; they always stay, or, with ALL_REPEATS, go as exact repeats
@@ -47,6 +50,8 @@ class LineConfig:
     pair_rounds: int = 3
     #: Bins (of two bits each) in which a pair may differ and still be compared.
     differing: int = 11
+    #: 64-bit words of the parity bitmap that bounds how many shingles two lines share.
+    words: int = 16
     #: Hashes per bin that a line's first pass looks at, on average.
     filling: int = 4
     similarity: float = 0.8
@@ -86,12 +91,35 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def lines_in(docs: DataFrame, pairs: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """line_id and the shingle hashes, worked out once, of every line in the pairs (a, b)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
+    """line_id, the shingle hashes, worked out once, and whether it stands as a or as b, of every line in the pairs (a, b)."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("line_id"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("line_id"), F.lit(False).alias("is_a"))))
+    ids = pairs.select(ends.alias("end")).groupBy(F.col("end.line_id").alias("line_id")).agg(
+        F.bool_or("end.is_a").alias("is_a"), F.bool_or(~F.col("end.is_a")).alias("is_b"))
+    return shingles_of(docs, ids, config, text)
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
+    """The rows of ``ids``, of one line_id each, with the shingle hashes of their lines."""
     rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
-    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi")
-    wide = found.dropDuplicates(["line_id"]).select("line_id", F.encode("line", "UTF-32").alias("wide"))
-    return stored(wide.select("line_id", shingle_hashes(F.col("wide"), config.shingle).alias("shingles")), "lines")
+    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id")
+    wide = found.dropDuplicates(["line_id"]).select(*ids.columns, F.encode("line", "UTF-32").alias("wide"))
+    return stored(wide.select(*ids.columns, shingle_hashes(F.col("wide"), config.shingle).alias("shingles")), "lines")
+
+
+def parity(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """line_id, size and map: the number of shingles and the parity of those in each of 64 * words slots."""
+    each = lines.select("line_id", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.pmod(F.shiftright("h", 6), F.lit(config.words))
+    own = each.select("line_id", "size", bit.alias("bit"), word.alias("word")).groupBy("line_id", "size").agg(
+        *(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))).alias(f"w{k}") for k in range(config.words)))
+    return own.select("line_id", "size", F.array(*(F.coalesce(f"w{k}", F.lit(0).cast("long")) for k in range(config.words))).alias("map"))
+
+
+def may_be_similar(x: Column, y: Column, nx: Column, ny: Column, config: LineConfig) -> Column:
+    """Whether sizes and parity bitmaps leave the threshold in reach; a slot that differs holds a shingle that one line lacks."""
+    differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(config.words)), F.lit(0))
+    most = (nx + ny) * F.lit((1 - config.similarity) / (1 + config.similarity))
+    return (F.least(nx, ny) >= config.similarity * F.greatest(nx, ny)) & (differ <= most + F.lit(1e-6))
 
 
 def _bin_minima(lines: DataFrame, config: LineConfig, bounded: bool) -> DataFrame:
@@ -168,17 +196,19 @@ def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame
 
     Pairs are few bytes and much work, so they are spread over all shuffle
     partitions first; those of too different sizes are not intersected. They are
-    taken in a few rounds, so that only a share of the shingles is in shuffles
-    at once. The measures are written before the filter, which would otherwise
-    be pushed down and have them evaluated several times.
+    taken in a few rounds by their first line, so that only a share of the first
+    lines and of the pairs' shingles is in shuffles at once. The measures are
+    written before the filter, which would otherwise be pushed down and have
+    them evaluated several times.
     """
     spark = pairs.sparkSession
-    a, b = lines.select(F.col("line_id").alias("a"), F.col("shingles").alias("x")), lines.select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
+    a = lines.where("is_a").select(F.col("line_id").alias("a"), F.col("shingles").alias("x"))
+    b = lines.where("is_b").select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
     parts = []
     for k in range(config.pair_rounds):
-        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(config.pair_rounds)) == k)
-        some = some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-        both = some.join(a, "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
+        own = F.pmod(F.xxhash64("a"), F.lit(config.pair_rounds)) == k
+        some = pairs.where(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        both = some.join(a.where(own), "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
         parts.append(stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures"))
         release_shuffles(spark)
     links = stored(reduce(DataFrame.union, parts).where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b"), "line_links")
@@ -211,11 +241,21 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     for done in (*parts, comps):
         discard(done)
     release_shuffles(spark)
-    other = member.where("comp <> lead").select("bucket", "lead_id", F.col("line_id").alias("x"), F.col("comp").alias("cx"), F.col("code").alias("kx"))
-    pairs = other.join(member.select("bucket", F.col("line_id").alias("y"), F.col("comp").alias("cy"), F.col("code").alias("ky")), "bucket")
-    pairs = pairs.where("cx <> cy and y <> lead_id").where(alike(F.col("kx"), F.col("ky"), config))
-    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
+    lines = shingles_of(docs, member.select("line_id").distinct(), config, text)
+    maps = stored(parity(lines, config), "line_maps")
+    discard(lines)
+    release_shuffles(spark)
+    full = stored(member.join(maps, "line_id"), "line_mapped")
     discard(member)
+    discard(maps)
+    release_shuffles(spark)
+    x = full.where("comp <> lead").select("bucket", "lead_id", *(F.col(c).alias(f"x_{c}") for c in ("line_id", "comp", "code", "size", "map")))
+    y = full.where("line_id <> lead_id").select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("line_id", "comp", "code", "size", "map")))
+    pairs = x.join(y, "bucket").where("x_comp <> y_comp").where(alike(F.col("x_code"), F.col("y_code"), config)).where(
+        may_be_similar(F.col("x_map"), F.col("y_map"), F.col("x_size"), F.col("y_size"), config))
+    pairs = stored(pairs.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct(), "line_pairs")
+    discard(full)
+    release_shuffles(spark)
     lines = lines_in(docs, pairs, config, text)
     second = similar(pairs, lines, config)
     discard(lines)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlark.llm import components, line_dedup, quality_rules
@@ -113,3 +115,43 @@ def test_quality_writes_no_copy_and_measures_once(spark, tmp_path, monkeypatch):
     want = sorted((r["doc_id"] or 0) for r in want if not r["fail_bits"] & quality_rules.mask_of(quality_rules.POLICIES[corpus_pipeline.POLICY]))
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == want
     assert not list(tmp_path.glob("*/*")) and plan.count("AS _twice#") == 1
+
+
+def test_unlike_lines_of_a_bucket_are_never_paired(spark, monkeypatch):
+    """Lines that share most bands' bins and still too few shingles make no pairs; no link is lost."""
+    rng = random.Random(4)
+
+    def text(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).replace(" ", "_")
+
+    common = text(150)
+    lines = [common + text(75) for _ in range(80)]
+    lines += [x[:-3] + text(3) for x in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    made, similar = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, *a: made.append(pairs.count()) or similar(pairs, *a))
+    got = {r["doc_id"] for r in line_dedup.dropped_lines(docs, line_dedup.WHOLE).collect()}
+    assert got == set(range(80, 100))
+    assert len(made) == 2 and made[1] < 100  # 4 950 pairs in all
+
+
+def test_parity_bound_loses_no_similar_pair(spark):
+    """Whatever reaches the threshold passes the bound, at any length."""
+    rng = random.Random(8)
+    pairs = []
+    for k in range(120):
+        x = [rng.choice("abcdefgh ") for _ in range(rng.choice([8, 12, 40, 200, 900, 4000]))]
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 60))):
+            y[rng.randrange(len(y))] = "X"
+        pairs.append(("".join(x) + f"{k}", "".join(y) + f"{k}"))
+    sets = [[{x[i:i + 8] for i in range(max(1, len(x) - 7))} for x in p] for p in pairs]
+    alike = {k for k, (x, y) in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)}
+    docs = spark.createDataFrame([("\n".join(p),) for p in pairs], "text string")
+    ids = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, x string, y string").selectExpr("k", "xxhash64(x) AS a", "xxhash64(y) AS b")
+    config = line_dedup.WHOLE
+    maps = line_dedup.parity(line_dedup.lines_in(docs, ids, config), config)
+    x, y = (maps.toDF(side, f"n{side}", f"m{side}") for side in "ab")
+    both = ids.join(x, "a").join(y, "b").where(line_dedup.may_be_similar(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), config))
+    got = {r["k"] for r in both.collect()}
+    assert 20 < len(alike) < 120 and alike <= got
