@@ -29,6 +29,7 @@ table gives an empty result, columns other than id and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,8 @@ from .ngram_sets import fingerprint, shingle_sets
 #: Bound on the frequent shingles that the driver sends to the tasks (8 bytes each).
 FREQUENT = 200_000
 LEAST_COUNT = 8
+#: Rows of a batch whose shingles a worker holds at once.
+ROWS = 1024
 #: Share of all hash values within which frequencies are counted.
 COUNTED = 0.3
 
@@ -71,17 +74,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few rows, so that a worker holds the shingles of these alone."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def set_sizes(docs: DataFrame, config: JoinConfig) -> DataFrame:
     """doc_id, n_shingles, sig and bits: the set's size, 64-bit fingerprint and parity bitmap."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                sets = [(len(s), fingerprint(s), bitmap(s)) for s in shingle_sets(part.column(1).to_pylist(), config.width)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([x for _, x, _ in sets], pa.int64()), pa.array([x for *_, x in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "sig", "bits"])
+        for part in slices(batches):
+            sets = [(len(s), fingerprint(s), bitmap(s)) for s in shingle_sets(part.column(1).to_pylist(), config.width)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([x for _, x, _ in sets], pa.int64()), pa.array([x for *_, x in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "sig", "bits"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, bits binary")
 
@@ -91,9 +99,10 @@ def frequent_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     top = np.uint64(int(COUNTED * (1 << 64)))
 
     def run(batches):
-        for b in batches:
-            part = [s[: np.searchsorted(s, top)] for s in shingle_sets(b.column(1).to_pylist(), config.width)]
-            token, n = np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for b in slices(batches):
+            # copies, since a view would hold the whole set
+            part = [s[: np.searchsorted(s, top)].copy() for s in shingle_sets(b.column(1).to_pylist(), config.width)]
+            token, n = np.unique(np.concatenate(part), return_counts=True)
             for lo in range(0, len(token), 1 << 18):
                 yield pa.RecordBatch.from_arrays([_signed(token[lo:lo + (1 << 18)]), pa.array(n[lo:lo + (1 << 18)].astype(np.int64))], names=["token", "n"])
 
@@ -119,7 +128,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> D
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for s in shingle_sets(b.column(1).to_pylist(), config.width):
                 if not len(s):
@@ -136,11 +145,11 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> D
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late]])
                 p = config.prefix(len(s))
-                rows.append((s[:p], sig, len(s)))
+                rows.append((s[:p].copy(), sig, len(s)))
             if rows:
                 lens = [len(t) for t, _, _ in rows]
                 yield pa.RecordBatch.from_arrays([
-                    _signed(np.concatenate([t for t, _, _ in rows])), pa.array(np.repeat([x for _, x, _ in rows], lens)),
+                    _signed(np.concatenate([t for t, _, _ in rows])), pa.array(np.repeat(np.array([x for _, x, _ in rows], np.int64), lens)),
                     pa.array(np.repeat([n for *_, n in rows], lens).astype(np.int32)), pa.array(np.concatenate([np.arange(k) for k in lens]).astype(np.int32))],
                     names=["token", "sig", "n", "pos"])
 
@@ -178,18 +187,16 @@ def needed_sets(docs: DataFrame, heads: DataFrame, pairs: DataFrame, config: Joi
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                sets = list(shingle_sets(part.column(1).to_pylist(), config.width))
-                keep = []
-                # rows that share a doc_id may hold other texts, or the same again
-                for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist())):
-                    if sig not in seen and fingerprint(s) == sig:
-                        seen.add(sig)
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["sig", "tokens"])
+        for part in slices(batches, 512):
+            sets = list(shingle_sets(part.column(1).to_pylist(), config.width))
+            keep = []
+            # rows that share a doc_id may hold other texts, or the same again
+            for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist())):
+                if sig not in seen and fingerprint(s) == sig:
+                    seen.add(sig)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["sig", "tokens"])
 
     texts = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"])).select("sig", "text")
     out = stored(texts.mapInArrow(run, "sig bigint, tokens array<bigint>"), "ngram_sets")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlark.llm import components, line_dedup, quality_rules
+from ledgerlark.llm import components, line_dedup, ngram_join, quality_rules
 from ledgerlark.llm.components import stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row int, _id string, _of bigint, extra string"
@@ -155,3 +157,26 @@ def test_parity_bound_loses_no_similar_pair(spark):
     both = ids.join(x, "a").join(y, "b").where(line_dedup.may_be_similar(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), config))
     got = {r["k"] for r in both.collect()}
     assert 20 < len(alike) < 120 and alike <= got
+
+
+def test_join_holds_few_rows_shingles(spark, monkeypatch):
+    """However many rows an Arrow batch has, a worker cuts the shingles of a slice alone, and each row's."""
+    asked, cut = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, width: asked.append(len(texts)) or cut(texts, width))
+    texts = [" ".join(f"w{i % 50 + j}" for j in range(8)) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])
+
+    class Docs:
+        """What mapInArrow is given runs here."""
+
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return spark.createDataFrame(pa.Table.from_batches(run(iter([batch]))).to_pylist(), schema)
+
+    sizes = ngram_join.set_sizes(Docs(), ngram_join.JoinConfig())
+    assert sizes.count() == 3000
+    ngram_join.frequent_shingles(Docs(), ngram_join.JoinConfig())
+    lists = ngram_join.prefix_lists(Docs(), np.zeros(0, np.uint64), ngram_join.JoinConfig())
+    assert lists.select("sig").distinct().count() <= 50
+    assert sum(asked) == 9000 and max(asked) <= 1024
