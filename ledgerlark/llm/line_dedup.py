@@ -8,11 +8,13 @@ whose Jaccard similarity is then computed exactly from the shingles, and
 distributed union-find turns the links into components. One line per component
 stays: its first occurrence by document and position.
 
-Buckets are never cut: each tests its members with one leader, and then only
-pairs of different components, so a bucket of many copies costs its size. Where
-components share a bucket, parity bitmaps of the whole shingle sets bound from
-below in how many shingles two lines differ: a pair that cannot reach the
-threshold is never made, and no other one is lost.
+Buckets are never cut: each tests its members with a few leaders, and then only
+pairs of different components, so a bucket of many copies costs its size. Leaders
+are the first in orders by hash that a few buckets share, so that a large group
+meets several of them and not one that may be an outlier. Where components share a bucket, parity bitmaps
+of the whole shingle sets bound from below in how many shingles two lines differ:
+a pair that cannot reach the threshold is never made, and no other one is lost.
+A pair of several buckets is made in the first of them only.
 
 Defined results: lines with fewer than MIN_CHARS characters (blank ones too)
 are never compared; they always stay, or, with ALL_REPEATS, go as exact repeats
@@ -52,6 +54,10 @@ class LineConfig:
     differing: int = 11
     #: 64-bit words of the parity bitmap that bounds how many shingles two lines share.
     words: int = 16
+    #: Leaders of a bucket, each the first of its lines in an order of its own.
+    leaders: int = 3
+    #: Sets of such orders; buckets of one set and group mostly share their leaders.
+    orders: int = 4
     #: Hashes per bin that a line's first pass looks at, on average.
     filling: int = 4
     similarity: float = 0.8
@@ -106,6 +112,18 @@ def shingles_of(docs: DataFrame, ids: DataFrame, config: LineConfig, text: str =
     return stored(wide.select(*ids.columns, shingle_hashes(F.col("wide"), config.shingle).alias("shingles")), "lines")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
+    """The distinct lines of ``ids``, each as a text of its own, so that the documents are read and shuffled once for all comparisons."""
+    rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
+    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
+    return stored(found.select(F.col("line").alias(text)), "line_texts")
+
+
+def leaders(value: str, config: LineConfig) -> Column:
+    """``value`` of each of a bucket's leaders; no two lines of a bucket are equal in an order."""
+    return F.array(*(F.min_by(value, F.xxhash64(F.lit(k), F.pmod("bucket", F.lit(config.orders)), "line_id")) for k in range(config.leaders)))
+
+
 def parity(lines: DataFrame, config: LineConfig) -> DataFrame:
     """line_id, size and map: the number of shingles and the parity of those in each of 64 * words slots."""
     each = lines.select("line_id", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
@@ -224,11 +242,15 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     parts = buckets(sigs, config)
     discard(sigs)
     member = reduce(DataFrame.union, parts)
-    lead = member.groupBy("bucket").agg(F.min("line_id").alias("lead"), F.min_by("code", "line_id").alias("lead_code"))
-    star = member.join(lead, "bucket").where("line_id <> lead").where(alike(F.col("code"), F.col("lead_code"), config))
-    star = stored(star.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct(), "line_star")
+    lead = member.groupBy("bucket").agg(F.arrays_zip(leaders("line_id", config).alias("id"), leaders("code", config).alias("code")).alias("leads"))
+    star = member.join(lead, "bucket").select("line_id", "code", F.explode(F.array_distinct("leads")).alias("lead"))
+    star = star.select("line_id", "code", F.col("lead.id").alias("lead"), F.col("lead.code").alias("lead_code"))
+    star = star.where("line_id <> lead").where(alike(F.col("code"), F.col("lead_code"), config))
+    star = stored(star.select(F.least("lead", "line_id").alias("a"), F.greatest("lead", "line_id").alias("b")).distinct(), "line_star")
+    release_shuffles(spark)
+    texts = texts_of(docs, member.select("line_id").distinct(), config, text)
     release_shuffles(spark)
-    lines = lines_in(docs, star, config, text)
+    lines = lines_in(texts, star, config, text)
     first = similar(star, lines, config)
     discard(lines)
     discard(star)
@@ -236,30 +258,37 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     comps = stored(connected_components(first), "line_comps")
     member = member.join(comps.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
     lead = member.groupBy("bucket").agg(
-        F.min("line_id").alias("lead_id"), F.min_by("comp", "line_id").alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    member = stored(member.join(lead.select("bucket", "lead", "lead_id"), "bucket"), "line_members")
+        leaders("line_id", config).alias("leads"), leaders("comp", config)[0].alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    member = stored(member.join(lead.select("bucket", "lead", "leads"), "bucket"), "line_members")
     for done in (*parts, comps):
         discard(done)
     release_shuffles(spark)
-    lines = shingles_of(docs, member.select("line_id").distinct(), config, text)
-    maps = stored(parity(lines, config), "line_maps")
+    # a line is in one bucket per band at most
+    ids = member.groupBy("line_id").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
+    lines = shingles_of(texts, ids.select("line_id"), config, text)
+    maps = stored(parity(lines, config).join(ids, "line_id"), "line_maps")
     discard(lines)
     release_shuffles(spark)
-    full = stored(member.join(maps, "line_id"), "line_mapped")
+    mapped = full = stored(member.join(maps, "line_id"), "line_mapped")
     discard(member)
     discard(maps)
     release_shuffles(spark)
-    x = full.where("comp <> lead").select("bucket", "lead_id", *(F.col(c).alias(f"x_{c}") for c in ("line_id", "comp", "code", "size", "map")))
-    y = full.where("line_id <> lead_id").select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("line_id", "comp", "code", "size", "map")))
-    pairs = x.join(y, "bucket").where("x_comp <> y_comp").where(alike(F.col("x_code"), F.col("y_code"), config)).where(
-        may_be_similar(F.col("x_map"), F.col("y_map"), F.col("x_size"), F.col("y_size"), config))
+    held = ("line_id", "comp", "code", "size", "map", "all")
+    full = full.where(~F.array_contains("leads", F.col("line_id")))  # those have met all others
+    x = full.where("comp <> lead").select("bucket", "lead", *(F.col(c).alias(f"x_{c}") for c in held))
+    y = full.select("bucket", *(F.col(c).alias(f"y_{c}") for c in held))
+    # one way round where both lines stand on both sides, and in the first bucket that both are in
+    pairs = x.join(y, "bucket").where("x_comp <> y_comp and (x_line_id < y_line_id or y_comp = lead)").where(
+        alike(F.col("x_code"), F.col("y_code"), config)).where(
+        may_be_similar(F.col("x_map"), F.col("y_map"), F.col("x_size"), F.col("y_size"), config)).where(
+        F.element_at(F.array_intersect("x_all", "y_all"), 1) == F.col("bucket"))
     pairs = stored(pairs.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct(), "line_pairs")
-    discard(full)
+    discard(mapped)
     release_shuffles(spark)
-    lines = lines_in(docs, pairs, config, text)
+    lines = lines_in(texts, pairs, config, text)
     second = similar(pairs, lines, config)
-    discard(lines)
-    discard(pairs)
+    for done in (lines, pairs, texts):
+        discard(done)
     release_shuffles(spark)
     found = connected_components(first.union(second))
     discard(first)

@@ -137,6 +137,37 @@ def test_unlike_lines_of_a_bucket_are_never_paired(spark, monkeypatch):
     assert len(made) == 2 and made[1] < 100  # 4 950 pairs in all
 
 
+def _classes(sets, linked):
+    """The least index reachable by links, of each set."""
+    comp = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if linked(x, sets[j]) and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    return comp
+
+
+def test_group_of_near_lines_meets_several_leaders(spark, monkeypatch):
+    """Most of a group of lines around the threshold is linked through leaders; few pairs are left to compare, each made once."""
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz_") for _ in range(400)]
+    lines = []
+    for _ in range(150):
+        x = list(base)
+        for _ in range(rng.randint(0, 8)):
+            x[rng.randrange(400)] = rng.choice("ABCDEFGHIJ")
+        lines.append("".join(x))
+    comp = _classes([{x[i:i + 8] for i in range(393)} for x in lines], lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    made, similar, rows, distinct = [], line_dedup.similar, [], type(docs).distinct
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, *a: made.append(pairs.count()) or similar(pairs, *a))
+    monkeypatch.setattr(type(docs), "distinct", lambda df: df.columns == ["a", "b"] and rows.append(df.count()) or distinct(df))
+    got = {r["doc_id"] for r in line_dedup.dropped_lines(docs, line_dedup.WHOLE).collect()}
+    assert got == {k for k, c in enumerate(comp) if c != k}
+    assert made[0] < 6000 and made[1] < 200 and rows[1] == made[1]  # 11 175 pairs in all
+
+
 def test_parity_bound_loses_no_similar_pair(spark):
     """Whatever reaches the threshold passes the bound, at any length."""
     rng = random.Random(8)
