@@ -10,13 +10,16 @@ so lists of shared passages hardly arise.
   a whole when size or position leave too little to share, or when all members
   of both are in one class already.
 * Answers from similar sets: each list first tests its members with one leader
-  only. What a member lacks and adds against its leader is kept, and the
+  only, the first in an order by hash that a few lists share: a large group meets
+  several leaders and not one that may be an outlier. What a member lacks and adds against its leader is kept, and the
   overlap of two members of one leader follows from these small differences:
   |x & y| = |L| - |miss x U miss y| + |extra x & extra y|. Only pairs of
   different classes are still asked for, since a link inside a class cannot
   change the classes.
-* Parity bitmaps bound the symmetric difference from below, so whole sets meet
-  only where a link is possible; then they are compared in full.
+* Parity bitmaps bound the symmetric difference from below: a short one of fixed
+  length where lists are joined, so that a pair out of reach is never made, then
+  one of the set's own length, so that whole sets meet only where a link is
+  possible; then they are compared in full.
 
 The result is exact up to equality of 64-bit hashes. No list is capped. The
 list of frequent shingles is bounded (it only orders, a shorter one is slower
@@ -44,6 +47,10 @@ FREQUENT = 200_000
 LEAST_COUNT = 8
 #: Rows of a batch whose shingles a worker holds at once.
 ROWS = 1024
+#: 64-bit words of the bitmap by which pairs are judged as they are made.
+WORDS = 16
+#: Orders of sets from which lists take their leaders.
+ORDERS = 32
 #: Share of all hash values within which frequencies are counted.
 COUNTED = 0.3
 
@@ -63,6 +70,10 @@ class JoinConfig:
         total = self.num * (a + b)
         return F.ceil(total / F.lit(float(self.num + self.den)) - F.lit(1e-9))
 
+    def most(self, a: Column, b: Column) -> Column:
+        """In how many shingles two linked sets of these sizes differ at most."""
+        return a + b - 2 * self.need(a, b)
+
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return self.num * F.greatest(a, b) <= self.den * F.least(a, b)
 
@@ -82,16 +93,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 
 
 def set_sizes(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """doc_id, n_shingles, sig and bits: the set's size, 64-bit fingerprint and parity bitmap."""
+    """doc_id, n_shingles, sig, bits and map: the set's size, 64-bit fingerprint, parity bitmap and the same in WORDS words."""
 
     def run(batches):
         for part in slices(batches):
-            sets = [(len(s), fingerprint(s), bitmap(s)) for s in shingle_sets(part.column(1).to_pylist(), config.width)]
+            sets = [(len(s), fingerprint(s), bitmap(s), np.frombuffer(bitmap(s, 64 * WORDS), np.int64)) for s in shingle_sets(part.column(1).to_pylist(), config.width)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([x for _, x, _ in sets], pa.int64()), pa.array([x for *_, x in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "sig", "bits"])
+                [part.column(0), *(pa.array([x[k] for x in sets], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))],
+                names=["doc_id", "n_shingles", "sig", "bits", "map"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, bits binary")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, bits binary, map array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
@@ -163,9 +174,9 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, config: JoinConfig) -> D
     return out
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 2n or more slots."""
-    size = max(256, 1 << int(2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, size: int = 0) -> bytes:
+    """Parity of the shingles in each of ``size`` slots (a power of two), else of 2n or more."""
+    size = size or max(256, 1 << int(2 * len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -229,6 +240,11 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "a", "b", "na", "nb", F.array_except("ta", "tb").alias("miss"), F.array_except("tb", "ta").alias("extra"))
 
 
+def in_reach(x: Column, y: Column, a: Column, b: Column, config: JoinConfig) -> Column:
+    """Whether the short bitmaps of two sets leave a link possible."""
+    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(WORDS)), F.lit(0)) <= config.most(a, b)
+
+
 def near(a: Column, b: Column, pa_: Column, pb: Column, config: JoinConfig) -> Column:
     return config.sizes_fit(a, b) & (F.least(a - pa_, b - pb) >= config.need(a, b))
 
@@ -238,7 +254,8 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     lists = prefix_lists(docs, frequent_shingles(docs, config), config)
 
     # every list's members against its leader
-    lead = lists.groupBy("token").agg(F.min(F.struct("sig", "n", "pos")).alias("l"))
+    order = F.xxhash64(F.pmod("token", F.lit(ORDERS)), "sig")  # no two sets are equal in it
+    lead = lists.groupBy("token").agg(F.min_by(F.struct("sig", "n", "pos"), order).alias("l"))
     star = lists.join(lead, "token").where(F.col("sig") != F.col("l.sig")).where(near(F.col("l.n"), F.col("n"), F.col("l.pos"), F.col("pos"), config))
     star = star.select(F.col("l.sig").alias("a"), F.col("sig").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).distinct()
     star = possible(star, heads, config)
@@ -253,7 +270,7 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
 
     # lists that still hold more than one class
     members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    spread = members.groupBy("token").agg(F.min(F.struct("sig", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    spread = members.groupBy("token").agg(F.min_by(F.struct("sig", "comp"), order).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     members = stored(members.join(spread.select("token", F.col("l.comp").alias("lead"), F.col("l.sig").alias("lead_sig")), "token"), "ngram_members")
     discard(lists)
     release_shuffles(docs.sparkSession)
@@ -265,9 +282,13 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     kept = x.join(y, F.col("x.token") == F.col("y.token")).where(near(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), config)).where(
         (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))).select(
         F.col("x.token").alias("token"), F.col("x.n").alias("n"), F.col("x.pos").alias("pos"), F.col("y.n").alias("yn"), F.col("y.pos").alias("ypos"))
-    side = members.select("token", F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("sig").alias("ysig"), F.col("comp").alias("ycomp"))
-    pairs = kept.join(others.select("token", "n", "pos", "sig", "comp", "lead_sig"), ["token", "n", "pos"]).join(side, ["token", "yn", "ypos"])
-    pairs = pairs.where("comp <> ycomp and ysig <> lead_sig").select(
+    maps = heads.select("sig", "map")
+    side = members.join(maps, "sig").select(
+        "token", F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("sig").alias("ysig"), F.col("comp").alias("ycomp"), F.col("map").alias("ymap"))
+    pairs = kept.join(others.join(maps, "sig").select("token", "n", "pos", "sig", "comp", "lead", "lead_sig", "map"), ["token", "n", "pos"]).join(side, ["token", "yn", "ypos"])
+    # one way round where both sets are outside the leader's class
+    pairs = pairs.where("comp <> ycomp and ysig <> lead_sig and (sig < ysig or ycomp = lead)").where(
+        in_reach(F.col("map"), F.col("ymap"), F.col("n"), F.col("yn"), config)).select(
         F.least("sig", "ysig").alias("a"), F.greatest("sig", "ysig").alias("b"),
         F.when(F.col("sig") < F.col("ysig"), F.col("n")).otherwise(F.col("yn")).alias("na"),
         F.when(F.col("sig") < F.col("ysig"), F.col("yn")).otherwise(F.col("n")).alias("nb"))
@@ -302,7 +323,7 @@ def classes(docs: DataFrame, config: JoinConfig = JoinConfig(), id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     release_shuffles(docs.sparkSession)  # those of the step that made the documents
     sizes = stored(set_sizes(rows, config), "ngram_sizes")
-    heads = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"))
+    heads = sizes.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits"), F.min("map").alias("map"))
     heads = stored(heads, "ngram_heads")
     sizes = sizes.select("doc_id", "n_shingles", "sig")
     comps = connected_components(links(rows, heads, config)).withColumnRenamed("id", "sig")

@@ -168,6 +168,25 @@ def test_group_of_near_lines_meets_several_leaders(spark, monkeypatch):
     assert made[0] < 6000 and made[1] < 200 and rows[1] == made[1]  # 11 175 pairs in all
 
 
+def test_group_of_near_texts_makes_few_pairs(spark, monkeypatch):
+    """Texts of a group, one edit more or less than the threshold apart, are paired only where a link is in reach; no link is lost."""
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(147)]
+    texts = []
+    for _ in range(150):
+        x = list(base)
+        for _ in range(rng.choice((0, 1, 2, 4, 5, 6, 7))):
+            x[rng.randrange(147)] = f"x{rng.randint(0, 10**6)}"
+        texts.append(x)
+    comp = _classes([{tuple(x[i:i + 4]) for i in range(144)} for x in texts], lambda x, y: 100 * len(x & y) >= 85 * len(x | y))
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    rows, distinct = [], type(docs).distinct
+    monkeypatch.setattr(type(docs), "distinct", lambda df: df.columns == ["a", "b", "na", "nb"] and rows.append(df.count()) or distinct(df))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs).collect()}
+    assert got == dict(enumerate(comp))
+    assert len(rows) == 2 and rows[1] < 1000
+
+
 def test_parity_bound_loses_no_similar_pair(spark):
     """Whatever reaches the threshold passes the bound, at any length."""
     rng = random.Random(8)
