@@ -9,9 +9,9 @@ so lists of shared passages hardly arise.
   in blocks of equal (shingle, size, position). A pair of blocks is skipped as
   a whole when size or position leave too little to share, or when all members
   of both are in one class already.
-* Answers from similar sets: each list first tests its members with one leader
-  only, the first in an order by hash that a few lists share: a large group meets
-  several leaders and not one that may be an outlier. What a member lacks and adds against its leader is kept, and the
+* Answers from similar sets: each list first tests its members with a few leaders
+  only, the first in orders by hash that some lists share: a large group meets
+  many leaders and not one that may be an outlier. What a member lacks and adds against its leader is kept, and the
   overlap of two members of one leader follows from these small differences:
   |x & y| = |L| - |miss x U miss y| + |extra x & extra y|. Only pairs of
   different classes are still asked for, since a link inside a class cannot
@@ -49,7 +49,9 @@ LEAST_COUNT = 8
 ROWS = 1024
 #: 64-bit words of the bitmap by which pairs are judged as they are made.
 WORDS = 16
-#: Orders of sets from which lists take their leaders.
+#: Leaders of a list, each the first of its sets in an order of its own.
+LEADERS = 6
+#: Sets of such orders; lists of one set and group mostly share their leaders.
 ORDERS = 32
 #: Share of all hash values within which frequencies are counted.
 COUNTED = 0.3
@@ -245,6 +247,11 @@ def in_reach(x: Column, y: Column, a: Column, b: Column, config: JoinConfig) ->
     return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(WORDS)), F.lit(0)) <= config.most(a, b)
 
 
+def leaders(value: Column) -> Column:
+    """``value`` of each of a list's leaders; no two sets of a list are equal in an order."""
+    return F.array(*(F.min_by(value, F.xxhash64(F.lit(k), F.pmod("token", F.lit(ORDERS)), "sig")) for k in range(LEADERS)))
+
+
 def near(a: Column, b: Column, pa_: Column, pb: Column, config: JoinConfig) -> Column:
     return config.sizes_fit(a, b) & (F.least(a - pa_, b - pb) >= config.need(a, b))
 
@@ -253,10 +260,10 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
     """Edges (a, b) between fingerprints: every class of linked sets is connected by them."""
     lists = prefix_lists(docs, frequent_shingles(docs, config), config)
 
-    # every list's members against its leader
-    order = F.xxhash64(F.pmod("token", F.lit(ORDERS)), "sig")  # no two sets are equal in it
-    lead = lists.groupBy("token").agg(F.min_by(F.struct("sig", "n", "pos"), order).alias("l"))
-    star = lists.join(lead, "token").where(F.col("sig") != F.col("l.sig")).where(near(F.col("l.n"), F.col("n"), F.col("l.pos"), F.col("pos"), config))
+    # every list's members against its leaders
+    lead = lists.groupBy("token").agg(leaders(F.struct("sig", "n", "pos")).alias("leads"))
+    star = lists.join(lead, "token").withColumn("l", F.explode(F.array_distinct("leads")))
+    star = star.where(F.col("sig") != F.col("l.sig")).where(near(F.col("l.n"), F.col("n"), F.col("l.pos"), F.col("pos"), config))
     star = star.select(F.col("l.sig").alias("a"), F.col("sig").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).distinct()
     star = possible(star, heads, config)
     sets = needed_sets(docs, heads, star, config)
@@ -270,24 +277,25 @@ def links(docs: DataFrame, heads: DataFrame, config: JoinConfig) -> DataFrame:
 
     # lists that still hold more than one class
     members = lists.join(classes.withColumnRenamed("id", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    spread = members.groupBy("token").agg(F.min_by(F.struct("sig", "comp"), order).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    members = stored(members.join(spread.select("token", F.col("l.comp").alias("lead"), F.col("l.sig").alias("lead_sig")), "token"), "ngram_members")
+    spread = members.groupBy("token").agg(leaders(F.struct("sig", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    members = stored(members.join(spread.select("token", F.col("l")[0]["comp"].alias("lead"), F.col("l.sig").alias("leads")), "token"), "ngram_members")
     discard(lists)
     release_shuffles(docs.sparkSession)
-    blocks = members.groupBy("token", "n", "pos").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # one side of each pair is outside the leader's class
-    others = members.where("comp <> lead")
+    # one side of each pair is outside the first leader's class, and leaders have met all others
+    free = members.where(~F.array_contains("leads", F.col("sig")))
+    others = free.where("comp <> lead")
+    blocks = free.groupBy("token", "n", "pos").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     own = others.groupBy("token", "n", "pos").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     x, y = own.alias("x"), blocks.alias("y")
     kept = x.join(y, F.col("x.token") == F.col("y.token")).where(near(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), config)).where(
         (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))).select(
         F.col("x.token").alias("token"), F.col("x.n").alias("n"), F.col("x.pos").alias("pos"), F.col("y.n").alias("yn"), F.col("y.pos").alias("ypos"))
     maps = heads.select("sig", "map")
-    side = members.join(maps, "sig").select(
+    side = free.join(maps, "sig").select(
         "token", F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("sig").alias("ysig"), F.col("comp").alias("ycomp"), F.col("map").alias("ymap"))
-    pairs = kept.join(others.join(maps, "sig").select("token", "n", "pos", "sig", "comp", "lead", "lead_sig", "map"), ["token", "n", "pos"]).join(side, ["token", "yn", "ypos"])
+    pairs = kept.join(others.join(maps, "sig").select("token", "n", "pos", "sig", "comp", "lead", "map"), ["token", "n", "pos"]).join(side, ["token", "yn", "ypos"])
     # one way round where both sets are outside the leader's class
-    pairs = pairs.where("comp <> ycomp and ysig <> lead_sig and (sig < ysig or ycomp = lead)").where(
+    pairs = pairs.where("comp <> ycomp and (sig < ysig or ycomp = lead)").where(
         in_reach(F.col("map"), F.col("ymap"), F.col("n"), F.col("yn"), config)).select(
         F.least("sig", "ysig").alias("a"), F.greatest("sig", "ysig").alias("b"),
         F.when(F.col("sig") < F.col("ysig"), F.col("n")).otherwise(F.col("yn")).alias("na"),
