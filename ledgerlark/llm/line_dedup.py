@@ -80,15 +80,18 @@ def _positions(n: Column, width: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
 
 
-def shingle_hashes(wide: Column, width: int) -> Column:
-    """Distinct shingle hashes of a line, as an array.
+def hashed(lines: DataFrame, config: LineConfig) -> DataFrame:
+    """The rows of ``lines``, a line each, with the distinct shingle hashes in the place of ``line``.
 
-    ``wide`` is a column of the line in UTF-32: its four bytes per character
-    make the cut of a shingle independent of its place, and an expression in its
-    stead would be evaluated again for each shingle.
+    A line in UTF-32 has four bytes per character, which make the cut of a
+    shingle independent of its place. Shingles become rows, since a function
+    over an array is interpreted and costs several times as much for each.
     """
-    at = _positions((F.octet_length(wide) / 4).cast("int"), width)
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(width * 4)))))
+    keys = [c for c in lines.columns if c != "line"]
+    wide = lines.select(*keys, F.encode("line", "UTF-32").alias("wide"))
+    each = wide.select(*keys, "wide", F.explode(_positions((F.octet_length("wide") / 4).cast("int"), config.shingle)).alias("i"))
+    each = each.select(*keys, F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(config.shingle * 4))).alias("h"))
+    return each.groupBy(*keys).agg(F.collect_list("h").alias("all")).select(*keys, F.array_distinct("all").alias("shingles"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,18 +108,24 @@ def lines_in(docs: DataFrame, pairs: DataFrame, config: LineConfig, text: str =
 
 
 def shingles_of(docs: DataFrame, ids: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """The rows of ``ids``, of one line_id each, with the shingle hashes of their lines."""
+    """The rows of ``ids``, of one line_id each, with the shingle hashes of their lines; ``docs`` may be what ``texts_of`` gives."""
+    known = docs.columns == ["line_id", "line"]
+    found = docs.join(ids, "line_id") if known else _rows(docs, config, text).join(ids, "line_id").dropDuplicates(["line_id"])
+    out = stored(hashed(found.select(*ids.columns, "line"), config), "lines")
+    release_shuffles(docs.sparkSession)
+    return out
+
+
+def _rows(docs: DataFrame, config: LineConfig, text: str) -> DataFrame:
+    """line_id and line of every line that is compared."""
     rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
-    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id")
-    wide = found.dropDuplicates(["line_id"]).select(*ids.columns, F.encode("line", "UTF-32").alias("wide"))
-    return stored(wide.select(*ids.columns, shingle_hashes(F.col("wide"), config.shingle).alias("shingles")), "lines")
+    return rows.select(F.xxhash64("line").alias("line_id"), "line")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, config: LineConfig, text: str = "text") -> DataFrame:
-    """The distinct lines of ``ids``, each as a text of its own, so that the documents are read and shuffled once for all comparisons."""
-    rows = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).where(F.char_length("line") >= config.min_chars)
-    found = rows.withColumn("line_id", F.xxhash64("line")).join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
-    return stored(found.select(F.col("line").alias(text)), "line_texts")
+    """line_id and line of the distinct lines of ``ids``, so that the documents are read and shuffled once for all comparisons."""
+    found = _rows(docs, config, text).join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
+    return stored(found.select("line_id", "line"), "line_texts")
 
 
 def leaders(value: str, config: LineConfig) -> Column:
@@ -212,22 +221,28 @@ def alike(a: Column, b: Column, config: LineConfig) -> Column:
 def similar(pairs: DataFrame, lines: DataFrame, config: LineConfig) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity reaches the threshold.
 
-    Pairs are few bytes and much work, so they are spread over all shuffle
+    ``lines`` holds the lines themselves (``texts_of``) or has their shingles
+    already (``lines_in``). Pairs are few bytes and much work, so they are spread over all shuffle
     partitions first; those of too different sizes are not intersected. They are
-    taken in a few rounds by their first line, so that only a share of the first
-    lines and of the pairs' shingles is in shuffles at once. The measures are
+    taken in a few rounds by their first line, so that only a share of the
+    shingles is on disk at once, many times the size of the lines: a round hashes
+    the lines of its own pairs, and they go with it. The measures are
     written before the filter, which would otherwise be pushed down and have
     them evaluated several times.
     """
     spark = pairs.sparkSession
-    a = lines.where("is_a").select(F.col("line_id").alias("a"), F.col("shingles").alias("x"))
-    b = lines.where("is_b").select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
     parts = []
     for k in range(config.pair_rounds):
         own = F.pmod(F.xxhash64("a"), F.lit(config.pair_rounds)) == k
-        some = pairs.where(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        some = pairs.where(own)
+        held = lines if "shingles" in lines.columns else lines_in(lines, some, config)
+        a = held.where("is_a").select(F.col("line_id").alias("a"), F.col("shingles").alias("x"))
+        b = held.where("is_b").select(F.col("line_id").alias("b"), F.col("shingles").alias("y"))
+        some = some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
         both = some.join(a.where(own), "a").join(b, "b").where(F.least(F.size("x"), F.size("y")) >= config.similarity * F.greatest(F.size("x"), F.size("y")))
         parts.append(stored(both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("t")), "line_measures"))
+        if held is not lines:
+            discard(held)
         release_shuffles(spark)
     links = stored(reduce(DataFrame.union, parts).where(F.col("i") >= config.similarity * (F.col("t") - F.col("i"))).select("a", "b"), "line_links")
     for done in parts:
@@ -250,9 +265,7 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     release_shuffles(spark)
     texts = texts_of(docs, member.select("line_id").distinct(), config, text)
     release_shuffles(spark)
-    lines = lines_in(texts, star, config, text)
-    first = similar(star, lines, config)
-    discard(lines)
+    first = similar(star, texts, config)
     discard(star)
     release_shuffles(spark)
     comps = stored(connected_components(first), "line_comps")
@@ -265,7 +278,7 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     release_shuffles(spark)
     # a line is in one bucket per band at most
     ids = member.groupBy("line_id").agg(F.sort_array(F.collect_set("bucket")).alias("all"))
-    lines = shingles_of(texts, ids.select("line_id"), config, text)
+    lines = shingles_of(texts, ids.select("line_id"), config)
     maps = stored(parity(lines, config).join(ids, "line_id"), "line_maps")
     discard(lines)
     release_shuffles(spark)
@@ -285,9 +298,8 @@ def line_components(docs: DataFrame, config: LineConfig = LineConfig(), text: st
     pairs = stored(pairs.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct(), "line_pairs")
     discard(mapped)
     release_shuffles(spark)
-    lines = lines_in(texts, pairs, config, text)
-    second = similar(pairs, lines, config)
-    for done in (lines, pairs, texts):
+    second = similar(pairs, texts, config)
+    for done in (pairs, texts):
         discard(done)
     release_shuffles(spark)
     found = connected_components(first.union(second))

@@ -108,6 +108,26 @@ def test_lines_are_hashed_once(spark):
     assert line_dedup.similar(pairs, line_dedup.lines_in(docs, pairs, line_dedup.WHOLE), line_dedup.WHOLE).count() == 0
 
 
+def test_shingles_of_one_round_at_a_time(spark, tmp_path, monkeypatch):
+    """Shingles, many times the size of the lines, are stored only for a share of the compared lines, and go before the next share's."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz_") for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*lines, *(x[:-4] + "0123" for x in lines)])), "doc_id long, text string")
+    monkeypatch.setattr(components, "scratch_path", lambda _, label: f"{tmp_path}/{label}/{uuid.uuid4().hex}")
+    held, stored = [], line_dedup.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "lines":
+            held.append((out.count(), len(list(tmp_path.glob("lines/*")))))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    got = {r["doc_id"] for r in line_dedup.dropped_lines(docs, line_dedup.WHOLE).collect()}
+    assert got == set(range(60, 120))
+    assert sum(n for n, _ in held) >= 120 and max(n for n, _ in held) < 90 and {at_once for _, at_once in held} == {1}
+
+
 def test_quality_writes_no_copy_and_measures_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(components, "scratch_path", lambda _, label: f"{tmp_path}/{label}/{uuid.uuid4().hex}")
     docs = frame(spark, [(1, BASE), (2, None), (None, "few words")])
