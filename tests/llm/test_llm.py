@@ -539,6 +539,30 @@ def test_ann_recall_settles(spark):
     assert hit >= 0.9 * 300
 
 
+def test_ann_tables_hold_packed_rows(spark, monkeypatch):
+    """No table of the search has a row per edge or per node met, and many shards and parts of a round find the same as brute force."""
+    sizes, keep = collections.defaultdict(list), ann.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        sizes[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "stored", counted)
+    monkeypatch.setattr(ann, "SHARD", 100, raising=False)
+    monkeypatch.setattr(ann, "PART", 1 << 20, raising=False)
+    x = np.random.default_rng(9).standard_normal((1200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, config=ann.GraphConfig(degree=10, block=64, beam=32)).toPandas()
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q, g in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += (g["score"] >= np.sort(s)[-5] - 1e-9).sum()
+    assert hit >= 0.95 * 120
+    assert max(n for label in ("ann_graph", "ann_ways", "ann_walk") for n in sizes[label]) < 100
+
+
 def test_secret_verdicts_hold_at_any_size(spark):
     """The same strings are secrets, or none, by models of small and large tables."""
     rng = random.Random(5)
